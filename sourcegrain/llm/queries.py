@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .quality_rules import op6_quality_rules
 from .secret_scan import op1_secret_scan
+from .url_filter import op2_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": lambda spark, d: op1_secret_scan(table(spark, d, "documents")),
+        "op2_url_filter": lambda spark, d: op2_url_filter(table(spark, d, "pages")),
+        "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
     }
 
 
