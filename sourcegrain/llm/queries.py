@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bpe_transducer import op5_byte_bpe
 from .common import table
+from .language_id import op3_language_id
 from .quality_rules import op6_quality_rules
 from .secret_scan import op1_secret_scan
 from .url_filter import op2_url_filter
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": lambda spark, d: op1_secret_scan(table(spark, d, "documents")),
         "op2_url_filter": lambda spark, d: op2_url_filter(table(spark, d, "pages")),
+        "op3_language_id": lambda spark, d: op3_language_id(table(spark, d, "documents")),
+        "op5_byte_bpe": lambda spark, d: op5_byte_bpe(table(spark, d, "documents")),
         "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
     }
 
