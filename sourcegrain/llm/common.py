@@ -3,6 +3,7 @@ zero-copy views of Arrow text columns."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,8 +60,15 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        self.release()
         return out
 
+    def release(self) -> None:
+        """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more;
+        without it they stay until the driver happens to collect its garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Deletes a table nothing will read again; a failure to delete does no harm."""
         jvm = self.spark.sparkContext._jvm
