@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_transducer import op5_byte_bpe
 from .common import table
 from .language_id import op3_language_id
+from .line_dedup import op4_line_dedup
 from .minhash_dedup import op9_minhash_dedup
 from .quality_rules import op6_quality_rules
 from .secret_scan import op1_secret_scan
@@ -23,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_byte_bpe": lambda spark, d: op5_byte_bpe(table(spark, d, "documents")),
         "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
         "op9_minhash_dedup": lambda spark, d: op9_minhash_dedup(table(spark, d, "documents")),
+        "op4_line_dedup": lambda spark, d: op4_line_dedup(table(spark, d, "documents")),
     }
 
 
