@@ -112,6 +112,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def words64(data: np.ndarray) -> np.ndarray:
+    """At each position the eight bytes from there on as one integer; len(data) - 7 of them."""
+    n = len(data) - 7
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    raw, out = np.ascontiguousarray(data), np.empty(n, np.uint64)
+    for k in range(min(8, n)):
+        part = out[k::8]
+        part[:] = np.frombuffer(raw, np.uint64, len(part), k)
+    return out
+
+
 _P = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _PI = pow(_P, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * C2)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_transducer import op5_byte_bpe
 from .common import table
+from .decontaminate import op8_decontaminate
 from .language_id import op3_language_id
 from .line_dedup import op4_line_dedup
 from .minhash_dedup import op9_minhash_dedup
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_rules": lambda spark, d: op6_quality_rules(table(spark, d, "documents")),
         "op9_minhash_dedup": lambda spark, d: op9_minhash_dedup(table(spark, d, "documents")),
         "op4_line_dedup": lambda spark, d: op4_line_dedup(table(spark, d, "documents")),
+        "op8_decontaminate": lambda spark, d: op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
     }
 
 
