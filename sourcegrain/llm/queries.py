@@ -14,6 +14,7 @@ from .line_dedup import op4_line_dedup
 from .minhash_dedup import op9_minhash_dedup
 from .quality_rules import op6_quality_rules
 from .secret_scan import op1_secret_scan
+from .suffix_dedup import op7_suffix_dedup
 from .url_filter import op2_url_filter
 
 
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_dedup": lambda spark, d: op9_minhash_dedup(table(spark, d, "documents")),
         "op4_line_dedup": lambda spark, d: op4_line_dedup(table(spark, d, "documents")),
         "op8_decontaminate": lambda spark, d: op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
+        "op7_suffix_dedup": lambda spark, d: op7_suffix_dedup(table(spark, d, "documents")),
     }
 
 
