@@ -86,13 +86,16 @@ def histograms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return out.reshape(rows, BUCKETS)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """Slices of rows with their histograms and their own texts (those of the slice are lower-cased)."""
     for batch in batches:
+        at = 0
         low = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
         for part, off, data in text_slices(low, 1 << 19):
             for i in range(0, part.num_rows, 256):  # many short rows would need many histograms at once
                 j = min(i + 256, part.num_rows)
-                yield part.slice(i, j - i), histograms(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                yield part.slice(i, j - i), histograms(data[off[i] : off[j]], off[i : j + 1] - off[i]), batch.column("text").slice(at, j - i)
+                at += j - i
 
 
 def _margins(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -149,7 +152,7 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(langs), BUCKETS))
-        for part, h in _features(batches):
+        for part, h, _ in _features(batches):
             which = np.array([index.get(x, -1) for x in part.column("lang").to_pylist()])
             for k in np.unique(which[which >= 0]):
                 sums[k] += h[which == k].sum(0)
@@ -164,7 +167,7 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         right, seen = np.zeros(m.code.shape), np.zeros(len(langs))
-        for part, h in _features(batches):
+        for part, h, _ in _features(batches):
             which = np.array([index.get(x, -1) for x in part.column("lang").to_pylist()])
             signs = np.sign(_margins(h, m.weights, m.bias))
             for k in np.unique(which[which >= 0]):
@@ -179,27 +182,29 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, lang_pred, score, ambiguous; score is 0 for `und`."""
-    rows = id_text(docs).withColumn("letters", F.rlike("text", F.lit(r"\p{L}")))
+def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred, score, ambiguous and the columns in `keep`; score is 0 for `und`."""
+    rows = id_text(docs, tuple(c for c in keep if c != "text")).withColumn("letters", F.rlike("text", F.lit(r"\p{L}")))
     if model is None:
-        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"))
+        return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("ambiguous"), *keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         floor = 1 / len(m.langs)
         clear = floor + AMBIGUOUS * (1 - floor) if len(m.langs) > 1 else 0.0
-        for part, h in _features(batches):
+        for part, h, texts in _features(batches):
             best, score = m.decode(h)
             known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             names = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             score = np.where(known, score, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(known & (score < clear))],
-                names=["doc_id", "lang_pred", "score", "ambiguous"])
+                [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(known & (score < clear)),
+                 *[texts if c == "text" else part.column(c) for c in keep]],
+                names=["doc_id", "lang_pred", "score", "ambiguous", *keep])
 
-    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean")
+    kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
+    return rows.mapInArrow(run, "doc_id long, lang_pred string, score double, ambiguous boolean" + kinds)
 
 
 def held_out(doc_id: Column, mod: int, rest: int) -> Column:
@@ -207,11 +212,15 @@ def held_out(doc_id: Column, mod: int, rest: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % mod == rest, F.lit(False))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """predict(), fitted on the rows that are labelled and not held out."""
+def fit_on(docs: DataFrame) -> Model | None:
+    """fit() on the rows that are labelled and not held out."""
     scratch = Scratch(docs.sparkSession, "language")
     seen = docs.where(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 3, 1) & F.col("text").isNotNull())
-    return predict(docs, fit(seen.select("text", F.col("lang").cast("string").alias("lang")), scratch))
+    return fit(seen.select("text", F.col("lang").cast("string").alias("lang")), scratch)
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    return predict(docs, fit_on(docs))
 
 
 def op3_language_id(docs: DataFrame) -> DataFrame:

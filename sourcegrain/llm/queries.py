@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .bpe_transducer import op5_byte_bpe
 from .common import table
 from .decontaminate import op8_decontaminate
+from .katz_lm import op10_katz_lm
 from .language_id import op3_language_id
 from .line_dedup import op4_line_dedup
 from .minhash_dedup import op9_minhash_dedup
@@ -29,6 +30,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": lambda spark, d: op4_line_dedup(table(spark, d, "documents")),
         "op8_decontaminate": lambda spark, d: op8_decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op7_suffix_dedup": lambda spark, d: op7_suffix_dedup(table(spark, d, "documents")),
+        "op10_katz_lm": lambda spark, d: op10_katz_lm(table(spark, d, "documents")),
     }
 
 
