@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sourcegrain.plans import table_queries
+from sourcegrain.plans import record_queries, table_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(table_queries.QUERIES)
+    return table_queries.QUERIES | record_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(table_queries.SQL)
+    return table_queries.SQL | record_queries.SQL
