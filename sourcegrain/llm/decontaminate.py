@@ -198,7 +198,7 @@ def _items(items: DataFrame) -> list[list[tuple[int, str]]]:
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
     shares, size = [[]], 0
     for r in rows.orderBy("item_id", "text").toLocalIterator():
-        s = normalise(pa.array([r["text"]]))[0].as_py()
+        s = normalise(pa.array([r["text"]], pa.string()))[0].as_py()
         if size + len(s) > SHARE_BYTES:
             shares.append([])
             size = 0
