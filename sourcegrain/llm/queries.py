@@ -34,5 +34,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+#: Near duplicates by joining all shingles: exact, and fast enough for small tables only.
+MINHASH_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w),
+c AS (SELECT min(doc_id) AS k, sh, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh),
+e AS (SELECT k, n, unnest(sh) AS g FROM c),
+p AS (SELECT a.k AS u, b.k AS v FROM e a JOIN e b ON a.g = b.g AND a.k < b.k GROUP BY a.k, b.k, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+l AS (SELECT u, v FROM p UNION ALL SELECT v, u FROM p),
+r(k, root) AS (SELECT k, k FROM c UNION SELECT l.v, r.root FROM r JOIN l ON l.u = r.k),
+m AS (SELECT k, min(root) AS root FROM r GROUP BY k)
+SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(m.root, s.doc_id) AS component_id, s.doc_id = coalesce(m.root, s.doc_id) AS kept
+FROM s LEFT JOIN c ON c.sh = s.sh LEFT JOIN m ON m.k = c.k"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_minhash_dedup": MINHASH_SQL}
