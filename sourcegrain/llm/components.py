@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) for each node of edges (u, v); the component is its least node.
+    """(node, component) for each node of edges (u, v) but the least of its component, which names it.
 
     Each round shuffles links, never whole components; the number of rounds grows with the logarithm
     of the longest chain."""
