@@ -6,8 +6,10 @@
    (1 - 0.75 ** 4) ** 32 = 5e-6.
 3. First round: each representative is compared with the least one of each of its buckets, and keeps
    the candidate whose signature agrees most. Second round: in buckets whose members have come into
-   several components, all pairs across components. Pairs inside a component can't change the
-   result, so a large group of near copies costs as many pairs as it has members, not their square.
+   several components, the pairs across components. Pairs inside a component can't change the
+   result, so a large group of near copies costs as many pairs as it has members, not their square;
+   and pairs are not made where the shingles held by no other candidate, or bit maps of the sets, rule
+   the similarity out already.
 4. A candidate pair is compared 32 minima at a time; it is dropped once the posterior probability of
    similarity >= 0.75 (uniform prior) is under MISS. Survivors are confirmed on their full sets.
 5. Components of the confirmed links, by star contractions.
@@ -41,6 +43,10 @@ ROWS = HASHES // BANDS
 STEP = 32
 MISS = 1e-6
 
+#: Bits of the maps that bound how many shingles two sets share.
+MAP_BITS = 1024
+_MAP = [f"m{k}" for k in range(MAP_BITS // 64)]
+
 _A = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + HASHES, dtype=np.uint64))
 
@@ -157,6 +163,36 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(_confirmed, "a long, b long")
 
 
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for node, raw in zip(batch.column("node").to_pylist(), batch.column("hashes"), strict=True):
+            x = np.frombuffer(raw.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), node))], names=["hash", "node"])
+
+
+def _maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set as a map of MAP_BITS bits, one for each shingle's hash."""
+    for batch in batches:
+        out = np.zeros((batch.num_rows, MAP_BITS // 64), np.uint64)
+        for i, raw in enumerate(batch.column("hashes")):
+            x = np.frombuffer(raw.as_buffer(), np.uint64) % np.uint64(MAP_BITS)
+            np.bitwise_or.at(out[i], (x >> np.uint64(6)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([batch.column("node"), *[pa.array(out[:, k].view(np.int64)) for k in range(out.shape[1])]], names=["node", *_MAP])
+
+
+def _own_shingles(placed: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, own, map): how many shingles of a node none of the other nodes placed has, and its bit map.
+    Two sets can't share more than either has besides its own, nor more than either has besides those
+    whose bits the other lacks: exact bounds that spare heavily edited copies of a large group most of
+    their comparisons. Doc_ids with several texts go without."""
+    one = sets.groupBy("node").agg(F.count("*").alias("k")).where("k = 1").select("node")
+    held = sets.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(_explode, "hash long, node long")
+    lone = held.groupBy("hash").agg(F.count("*").alias("k"), F.min("node").alias("node")).where("k = 1")
+    own = lone.groupBy("node").agg(F.count("*").cast("int").alias("own"))
+    maps = sets.join(placed.select("node").distinct(), "node", "left_semi").mapInArrow(_maps, "node long, " + ", ".join(f"{c} long" for c in _MAP))
+    return maps.join(own, "node", "left").join(one, "node", "left_semi")
+
+
 def link_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     spark = docs.sparkSession
@@ -189,10 +225,14 @@ def link_documents(docs: DataFrame) -> DataFrame:
     open_ = scratch.save(parts.groupBy("band").agg(F.max(F.struct("size", "comp")).alias("most"), F.count("*").alias("parts"))
                          .where("parts > 1").select("band", F.col("most.comp").alias("main")))
     placed = scratch.save(placed.join(open_, "band"))
-    minor = placed.where("comp <> main").select("band", F.col("node").alias("p"), F.col("n").alias("np"), F.col("comp").alias("cp"))
-    other = placed.select("band", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("comp").alias("cq"), "main")
+    placed = placed.join(_own_shingles(placed, sets), "node", "left").withColumn("free", F.col("n") - F.coalesce("own", F.lit(0)))
+    placed = scratch.save(placed.where(f"100 * free >= {SHARE} * n").drop("own"))
+    minor = placed.where("comp <> main").select("band", F.col("node").alias("p"), F.col("n").alias("np"), F.col("free").alias("fp"), F.col("comp").alias("cp"), *[F.col(m).alias("p" + m) for m in _MAP])
+    other = placed.select("band", F.col("node").alias("q"), F.col("n").alias("nq"), F.col("free").alias("fq"), F.col("comp").alias("cq"), "main", *[F.col(m).alias("q" + m) for m in _MAP])
+    lacks = lambda x, y: "coalesce(" + " + ".join(f"bit_count({x}{m} & ~{y}{m})" for m in _MAP) + ", 0)"
+    most = f"least(fp, fq, np - {lacks('p', 'q')}, nq - {lacks('q', 'p')})"
     across = minor.join(other, "band").where(
-        f"cp <> cq and (cq = main or p < q) and 100 * least(np, nq) >= {SHARE} * greatest(np, nq)")
+        f"cp <> cq and (cq = main or p < q) and 100 * least(fp, fq) >= {SHARE} * (np + nq - least(fp, fq)) and 100 * {most} >= {SHARE} * (np + nq - {most})")
     pairs = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
     more = scratch.save(_confirm(scratch.save(_screen(pairs, reps)), sets))
     final = components(links.union(more).toDF("u", "v"), scratch)
