@@ -4,7 +4,7 @@ A line is the set of its distinct lower-case words; lines with fewer than MIN_TO
 A line is removed if an earlier line (by doc_id, then position) has the same set, or one with Jaccard
 similarity of THRESHOLD percent or more.
 
-1. Equal sets collapse to their first line.
+1. Equal lines collapse to their first.
 2. Tokens are ordered by rarity. Counts over all sets go into a hashed table of fixed size, whose
    logarithms serve as tiers; ties and collisions are settled by the token's hash. Any total order
    gives exact results, the tiers only make the prefixes rare.
@@ -30,20 +30,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, Scratch, id_text
+from .common import Scratch, id_text, let
 
 THRESHOLD = 85
 MIN_TOKENS = 4
-CELLS = 1 << 18
-TIERS = 16  # of counts, for each doubling
+CELLS = 1 << 17
+TIERS = 5  # of counts, for each doubling
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, pos, tokens (sorted, distinct) and the set's 128-bit key, for lines that take part."""
+    """doc, pos, line and its 128-bit key, for all lines."""
     rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = F.array_remove(F.split(F.lower("line"), f"[{SPACE_CLASS}]+"), "")
-    rows = rows.select("doc", "pos", F.sort_array(F.array_distinct(words)).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return rows.select("doc", "pos", "tokens", F.xxhash64("tokens").alias("k1"), F.xxhash64(F.lit(977), "tokens", F.size("tokens")).alias("k2"))
+    return rows.select("doc", "pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(977), "line", F.length("line")).alias("k2"))
+
+
+def _words(line: Column) -> Column:
+    """The distinct lower-case words of a line in one string, and how many they are."""
+    plain = F.translate(F.lower(line), "\t\x0b\x0c\r", "    ")
+    distinct = F.array_remove(F.array_distinct(F.split(plain, " ")), "")
+    return let(distinct, lambda w: F.struct(F.array_join(w, " ").alias("words"), F.size(w).alias("n")))
+
+
+def _tokens(words: str = "words") -> Column:
+    return F.split(F.col(words), " ")
 
 
 def _cell(token: Column) -> Column:
@@ -52,10 +61,10 @@ def _cell(token: Column) -> Column:
 
 def rarity_tiers(sets: DataFrame) -> bytes:
     """One byte a cell: the logarithm of how many sets hold a token of that cell."""
-    counted = sets.select(F.explode("tokens").alias("token")).groupBy(_cell(F.col("token")).alias("cell")).count()
+    counted = sets.select(F.explode(_tokens()).alias("token")).groupBy(_cell(F.col("token")).alias("cell")).count()
     tiers = bytearray(CELLS)
     for row in counted.toLocalIterator():
-        tiers[row["cell"]] = min(255, int(TIERS * math.log2(row["count"] + 1) / 2))
+        tiers[row["cell"]] = min(127, int(TIERS * math.log2(row["count"] + 1)))
     return bytes(tiers)
 
 
@@ -65,43 +74,49 @@ def _need(n: Column, m: Column) -> Column:
 
 
 def _prefixes(sets: DataFrame, tiers: bytes) -> DataFrame:
-    """token, doc, pos, n, i: the prefix tokens of each set, i counting from 0 in order of rarity."""
+    """token, doc, pos, n, i: the prefix tokens of each set, i counting from 0 in order of rarity. A
+    token is its tier and 55 bits of its hash, which sort in this order as one integer."""
     table = F.lit(tiers)
-    keyed = F.transform("tokens", lambda t: F.struct(F.substring(table, _cell(t) + 1, F.lit(1)).alias("tier"), F.xxhash64(t).alias("token")))
-    n = F.size("tokens")
+
+    def key(h: Column) -> Column:
+        cell = F.pmod(h, F.lit(CELLS)).cast("int")
+        tier = F.ascii(F.substring(table, cell + 1, F.lit(1)).cast("string")).cast("long")
+        return F.shiftleft(tier, 55).bitwiseOR(F.shiftrightunsigned(h, 9))
+
+    n = F.col("n")
     length = n - F.ceil(n * THRESHOLD / 100 - 1e-9).cast("int") + 1
-    rows = sets.select("doc", "pos", n.alias("n"), F.posexplode(F.slice(F.sort_array(keyed), F.lit(1), length)).alias("i", "key"))
-    return rows.select(F.col("key.token").alias("token"), "doc", "pos", "n", "i")
+    rows = sets.select("doc", "pos", "n", F.posexplode(F.slice(F.sort_array(F.transform(F.transform(_tokens(), lambda t: F.xxhash64(t)), key)), F.lit(1), length)).alias("i", "token"))
+    return rows.select("token", "doc", "pos", "n", "i")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of pairs (doc, pos) after (xd, xp), the later lines of those that are similar."""
-    mine = pairs.join(sets.select("doc", "pos", F.col("tokens").alias("y")), ["doc", "pos"])
-    both = mine.join(sets.select(F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("tokens").alias("x")), ["xd", "xp"])
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(100 * shared >= THRESHOLD * (F.size("x") + F.size("y") - shared)).select("doc", "pos").distinct()
+    mine = pairs.join(sets.select("doc", "pos", F.col("words").alias("y")), ["doc", "pos"])
+    both = mine.join(sets.select(F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("words").alias("x")), ["xd", "xp"])
+    x, y = _tokens("x"), _tokens("y")
+    counted = both.select("doc", "pos", F.size(x).alias("n"), F.size(y).alias("m"), F.size(F.array_intersect(x, y)).alias("k"))
+    return counted.where(f"100 * k >= {THRESHOLD} * (n + m - k)").select("doc", "pos").distinct()
 
 
 def similar_later(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc, pos) of the sets that resemble an earlier one."""
-    prefixes = _prefixes(sets, rarity_tiers(sets))
+    prefixes = scratch.save(_prefixes(sets, rarity_tiers(sets)))
     first = F.struct("doc", "pos", "n", "i")
     leads = scratch.save(prefixes.groupBy("token").agg(F.min(first).alias("lead"), F.max(F.struct("doc", "pos")).alias("last"))
                          .where("lead.doc <> last.doc or lead.pos <> last.pos").select("token", "lead"))
-    members = scratch.save(prefixes.join(leads, "token"))
-    scratch.drop(leads)
     n, i = F.col("n"), F.col("i")
 
     xn, xi = F.col("lead.n"), F.col("lead.i")
     fits = (F.struct("lead.doc", "lead.pos") < F.struct("doc", "pos")) & (1 + F.least(n - i, xn - xi) - 1 >= _need(n, xn))
     fits &= 100 * F.least(n, xn) >= THRESHOLD * F.greatest(n, xn)
-    led = members.where(fits).groupBy("doc", "pos", "lead.doc", "lead.pos").agg(F.count("*").alias("c")).toDF("doc", "pos", "xd", "xp", "c")
+    led = prefixes.join(leads, "token").where(fits).groupBy("doc", "pos", "lead.doc", "lead.pos").agg(F.count("*").alias("c")).toDF("doc", "pos", "xd", "xp", "c")
     best = led.groupBy("doc", "pos").agg(F.max(F.struct("c", "xd", "xp")).alias("b")).select("doc", "pos", "b.xd", "b.xp")
     tried = scratch.save(best)
+    scratch.drop(leads)
     done = scratch.save(_verified(tried, sets))
 
-    later = members.join(done, ["doc", "pos"], "left_anti").drop("lead")
-    earlier = members.select("token", F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("n").alias("xn"), F.col("i").alias("xi"))
+    later = prefixes.join(done, ["doc", "pos"], "left_anti")
+    earlier = prefixes.select("token", F.col("doc").alias("xd"), F.col("pos").alias("xp"), F.col("n").alias("xn"), F.col("i").alias("xi"))
     xn, xi = F.col("xn"), F.col("xi")
     fits = (F.struct("xd", "xp") < F.struct("doc", "pos")) & (F.least(n - i, xn - xi) >= _need(n, xn))
     fits &= 100 * F.least(n, xn) >= THRESHOLD * F.greatest(n, xn)
@@ -110,6 +125,7 @@ def similar_later(sets: DataFrame, scratch: Scratch) -> DataFrame:
     # c tokens are shared up to the last shared one, and what stands behind it on either side
     met = met.where(F.col("c") + F.least(n - i, xn - xi) - 1 >= _need(n, xn)).select("doc", "pos", "xd", "xp")
     rest = scratch.save(met.join(tried, ["doc", "pos", "xd", "xp"], "left_anti"))
+    scratch.drop(prefixes)
     more = _verified(rest, sets)
     return done.union(more)
 
@@ -119,11 +135,14 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "lines")
     texts = id_text(docs, columns)
     lines = _lines(texts)
-    sets = scratch.save(lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos", "tokens")).alias("f")).select("k1", "k2", "f.*"))
-    similar = scratch.save(similar_later(sets, scratch).select("doc", "pos", F.lit(True).alias("similar")))
-    judged = scratch.save(sets.select("k1", "k2", "doc", "pos").join(similar, ["doc", "pos"], "left").select(
-        "k1", "k2", F.col("doc").alias("fd"), F.col("pos").alias("fp"), "similar"))
-    scratch.drop(sets)
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos", "line")).alias("f"), F.count("*").alias("copies"))
+    sets = first.select("k1", "k2", "copies", "f.doc", "f.pos", _words(F.col("f.line")).alias("w")).select("k1", "k2", "copies", "doc", "pos", "w.words", "w.n")
+    all_sets = scratch.save(sets)  # filtered when read again, or the words would be made once more for the filter
+    sets = all_sets.where(F.col("n") >= MIN_TOKENS)
+    similar = similar_later(sets, scratch).select("doc", "pos", F.lit(True).alias("similar"))
+    judged = sets.select("k1", "k2", "copies", "doc", "pos").join(similar, ["doc", "pos"], "left").where("similar or copies > 1")
+    judged = scratch.save(judged.select("k1", "k2", F.col("doc").alias("fd"), F.col("pos").alias("fp"), "similar"))
+    scratch.drop(all_sets)
     out = lines.select("doc", "pos", "k1", "k2").join(judged, ["k1", "k2"]).where("similar or doc <> fd or pos <> fp")
     gone = scratch.save(out.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
     rows = texts.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, "doc", "left")
