@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from sourcegrain.llm import bpe_transducer, decontaminate, language_id, line_dedup, minhash_dedup
 from sourcegrain.llm.common import SPACE_CLASS, Scratch, table
 
+#: Of the last stage: its workers share executors with what the earlier stages left in memory.
+MEMO = 60_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -53,7 +55,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the text that decoding them gives."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_transducer.encode_documents(docs, path, pattern)
+    return bpe_transducer.encode_documents(docs, path, pattern, memo=MEMO)
 
 
 STAGES = [

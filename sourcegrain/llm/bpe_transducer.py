@@ -31,34 +31,49 @@ from pyspark.sql import DataFrame
 
 from .common import id_text
 
-#: Bounds of the memos; emptying a full one costs time but never changes a result.
-MAX_STATES, MAX_PAIRS, MAX_PIECES = 250_000, 500_000, 250_000
+#: Bound of the memos of states, of word pieces and (half as much again) of token pairs: about a
+#: kilobyte each. Emptying a full one costs time but never changes a result.
+MEMO = 400_000
 CHUNK = 1 << 16
 
 
 class State:
     __slots__ = ("ends", "last", "live", "next", "pending", "tail")
 
-    def __init__(self, last: int, pending: bytes, ends: tuple[int, ...], live: tuple[int, ...]):
+    def __init__(self, last: int, pending: bytes, ends: tuple[int, ...], live: tuple[tuple[int, int], ...]):
         self.last, self.pending = last, pending
         self.ends = ends  # of each prefix of pending (from one byte on), the last token
-        self.live = live  # where a token that isn't complete yet may begin, ascending
+        self.live = live  # where a token that isn't complete yet may begin, ascending, and its node in the trie
         self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.tail: tuple[int, ...] | None = None
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
+    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
+        self.ranks, self.memo = ranks, memo
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.sizes = [len(t) for t in self.tokens]
+        # a trie of the tokens: children by node * 256 + byte, the token a node spells, and inner nodes
+        self.child: dict[int, int] = {}
+        self.spelt, self.inner = [-1], [True]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                self.inner[node] = True
+                key = node << 8 | byte
+                node = self.child.get(key, 0)
+                if not node:
+                    node = self.child[key] = len(self.spelt)
+                    self.spelt.append(-1)
+                    self.inner.append(False)
+            self.spelt[node] = rank
+        self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.start = State(-1, b"", (), (0,))
+        self.start = State(-1, b"", (), ((0, 0),))
         self.states = {(-1, b""): self.start}
 
     def _merged(self, raw: bytes) -> list[int]:
@@ -76,30 +91,37 @@ class Transducer:
     def may_follow(self, a: int, b: int) -> bool:
         if a < 0:
             return True
-        known = self.pairs.get((a, b))
+        key = a << 24 | b
+        known = self.pairs.get(key)
         if known is None:
-            if len(self.pairs) >= MAX_PAIRS:
+            if len(self.pairs) >= self.memo * 3 // 2:
                 self.pairs.clear()
-            known = self.pairs[a, b] = self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.pairs[key] = self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return known
 
     def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
         pending, ends = state.pending + bytes((byte,)), state.ends
-        n, token, live = len(pending), -1, []
-        for j in state.live:
-            part = pending[j:] if j else pending
-            if token < 0:
-                rank = self.ranks.get(part)
-                if rank is not None and self.may_follow(ends[j - 1] if j else state.last, rank):
+        n, token, live, roots = len(pending), -1, [], []
+        child, spelt, inner, pairs = self.child, self.spelt, self.inner, self.pairs
+        for j, node in state.live:
+            node = child.get(node << 8 | byte)
+            if node is None:
+                continue
+            if token < 0 <= (rank := spelt[node]):
+                before = ends[j - 1] if j else state.last
+                known = True if before < 0 else pairs.get(before << 24 | rank)
+                if known or known is None and self.may_follow(before, rank):
                     token = rank
-            if part in self.prefixes:
-                live.append(j)
+            if inner[node]:
+                live.append((j, node))
+                roots.append(j)
         ends = (*ends, token)
-        live.append(n)
-        roots = live.copy()
+        live.append((n, 0))
+        roots.append(n)
+        sizes = self.sizes
         while len(roots) > 1:  # the furthest place goes back to where its last token begins, until all agree
             j = roots.pop()
-            j -= len(self.tokens[ends[j - 1]])
+            j -= sizes[ends[j - 1]]
             if j not in roots:
                 insort(roots, j)
         root = roots[0]
@@ -107,9 +129,9 @@ class Transducer:
         key = (out[-1] if out else state.last, pending[root:])
         found = self.states.get(key)
         if found is None:
-            if len(self.states) >= MAX_STATES:
+            if len(self.states) >= self.memo:
                 self._forget()
-            found = self.states[key] = State(key[0], key[1], ends[root:], tuple([j - root for j in live]))
+            found = self.states[key] = State(key[0], key[1], ends[root:], tuple([(j - root, node) for j, node in live]))
         state.next[byte] = found, out
         return found, out
 
@@ -117,7 +139,7 @@ class Transducer:
         out = []
         while at:
             out.append(ends[at - 1])
-            at -= len(self.tokens[ends[at - 1]])
+            at -= self.sizes[ends[at - 1]]
         return tuple(reversed(out))
 
     def encode(self, raw: bytes) -> tuple[int, ...]:
@@ -146,7 +168,7 @@ class Pieces(dict):
         if ids is None:
             ids = self.transducer.encode(piece.encode())
         if len(piece) <= 32:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= self.transducer.memo:
                 self.older = dict(self)
                 self.clear()
             self[piece] = ids
@@ -154,11 +176,13 @@ class Pieces(dict):
 
 
 class Codec:
-    def __init__(self, vocabulary: bytes, pattern: str):
+    def __init__(self, vocabulary: bytes, pattern: str, memo: int = MEMO):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-        self.pieces = Pieces(Transducer(ranks))
+        self.pieces = Pieces(Transducer(ranks, memo))
         self.pattern = regex.compile(pattern)
         self.names = [str(i) for i in range(len(self.pieces.transducer.tokens))]
+        whole = [advance(b"", token) for token in self.pieces.transducer.tokens]
+        self.texts = [text if not rest else None for text, rest in whole]
         self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
 
     def encode_stream(self, text: str) -> Iterator[list[int]]:
@@ -177,6 +201,11 @@ class Codec:
         """Texts whose concatenation is the decoded text; a character may span tokens and chunks."""
         state = b""
         for ids in chunks:
+            if not state:  # most tokens are whole characters
+                out = [self.texts[i] for i in ids]
+                if None not in out:
+                    yield "".join(out)
+                    continue
             out = []
             table = self.moves.setdefault(state, {})
             for i in ids:
@@ -230,24 +259,26 @@ def _high(pending: bytes) -> int:
     return {b"\xed": 0x9F, b"\xf4": 0x8F}.get(pending, 0xBF)
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[tuple[int, str, int], Codec] = {}
 
 
-def codec(vocabulary: bytes, pattern: str) -> Codec:
+def codec(vocabulary: bytes, pattern: str, memo: int) -> Codec:
     """One codec a worker for each vocabulary, so that tasks share its memos."""
-    key = (hash(vocabulary), pattern)
+    key = (hash(vocabulary), pattern, memo)
     if key not in _CODECS:
-        _CODECS[key] = Codec(vocabulary, pattern)
+        _CODECS.clear()
+        _CODECS[key] = Codec(vocabulary, pattern, memo)
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless left out, the ids themselves."""
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless left out, the ids themselves. `memo`
+    bounds what a worker keeps; smaller ones suit executors whose memory other operators share."""
     with open(path, "rb") as f:  # a fixed vocabulary of the installation, under a megabyte
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value, pattern)
+        c = codec(shared.value, pattern, memo)
         for batch in batches:
             rows = []
             for text in batch.column("text").to_pylist():
