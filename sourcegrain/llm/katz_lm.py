@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, SpanHash, id_text, lower_ascii, mix, text_slices, word_spans
 
 LIMIT = 5
-BATCH, PART = 12 << 20, 24 << 20
+BATCH, PART = 8 << 20, 16 << 20
 END, START = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6BE6546B64)
 
 _ROWS = "batch long, part long, kind string, body binary"
@@ -54,7 +54,7 @@ _ROWS = "batch long, part long, kind string, body binary"
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as compressed bytes; integers lie byte plane by byte plane, so high zero bytes vanish."""
-    held = [(x.dtype.str, len(x), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()) for x in arrays]
+    held = [(x.dtype.str, len(x), np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes()) for x in arrays]
     return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(held, 5))
 
 
@@ -101,40 +101,50 @@ def _record(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(p, pa.int64()), pa.array(k, pa.string()), pa.array(x, pa.binary())], names=["batch", "part", "kind", "body"])
 
 
-def number_tokens(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A batch's documents as word numbers (kind docs), and its requests (kinds words and pairs)."""
+def _number_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of documents as numbers of the batch's own sorted word keys (kind docs)."""
 
-    def flush(batch: int, docs: list[tuple]) -> Iterator[pa.RecordBatch]:
+    def flush(batch: int, docs: list[tuple]) -> pa.RecordBatch:
         ids, nameless, held, lengths = (np.concatenate([d[k] for d in docs]) for k in range(4))
         keys, words = np.unique(np.concatenate([d[4] for d in docs]), return_inverse=True)
-        first = np.cumsum(np.append(0, lengths[:-1]))
-        weight = np.repeat(~held, lengths)
-        yield _record([(batch, -1, "docs", pack(ids, nameless, held, lengths, steps(keys), words.astype(np.uint32)))])
-        asked = [("words", keys, np.bincount(words, weight, len(keys)))]
-        pair_keys, at, _, _ = pairs(words, first, keys)
-        asked.append(("pairs", pair_keys, np.bincount(at, weight, len(pair_keys))))
-        for kind, x, n in asked:
-            cut = _cuts(x, parts)
-            rows = [(batch, p, kind, pack(steps(x[a:b]), n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
-            for i in range(0, len(rows), 256):
-                yield _record(rows[i : i + 256])
+        return _record([(batch, -1, "docs", pack(ids, nameless, held, lengths, steps(keys), words.astype(np.uint32)))])
+
+    batch, size, docs = TaskContext.get().partitionId() << 24, 0, []
+    for arrow in batches:
+        for part, off, data in text_slices(arrow, 2 << 20):
+            low = lower_ascii(data)
+            s, e, counts = word_spans(low, off)
+            words = SpanHash(low)(s, e) if len(s) else np.empty(0, np.uint64)
+            ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
+            nameless = pc.is_null(part.column("doc_id")).to_numpy(zero_copy_only=False)
+            docs.append((ids, nameless, part.column("held").to_numpy(zero_copy_only=False).astype(bool), counts + 1, np.insert(words, np.cumsum(counts), END)))
+            size += len(data) + 8 * len(ids)
+            if size >= BATCH:
+                yield flush(batch, docs)
+                batch, size, docs = batch + 1, 0, []
+    if docs:
+        yield flush(batch, docs)
+
+
+def ask(parts: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A batch's requests (kinds words and pairs): its distinct keys and their training counts, cut by
+    the parts' hash ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        batch, size, docs = TaskContext.get().partitionId() << 24, 0, []
         for arrow in batches:
-            for part, off, data in text_slices(arrow, 2 << 20):
-                low = lower_ascii(data)
-                s, e, counts = word_spans(low, off)
-                words = SpanHash(low)(s, e) if len(s) else np.empty(0, np.uint64)
-                ids = pc.fill_null(part.column("doc_id"), 0).to_numpy()
-                nameless = pc.is_null(part.column("doc_id")).to_numpy(zero_copy_only=False)
-                docs.append((ids, nameless, part.column("held").to_numpy(zero_copy_only=False).astype(bool), counts + 1, np.insert(words, np.cumsum(counts), END)))
-                size += len(data) + 8 * len(ids)
-                if size >= BATCH:
-                    yield from flush(batch, docs)
-                    batch, size, docs = batch + 1, 0, []
-        if docs:
-            yield from flush(batch, docs)
+            for batch, body in zip(arrow.column("batch").to_pylist(), arrow.column("body"), strict=True):
+                _, _, held, lengths, keys, words = unpack(body.as_buffer())
+                keys, words = unsteps(keys), words.astype(np.int64)
+                first = np.cumsum(np.append(0, lengths[:-1]))
+                weight = np.repeat(~held, lengths)
+                asked = [("words", keys, np.bincount(words, weight, len(keys)))]
+                pair_keys, at, _, _ = pairs(words, first, keys)
+                asked.append(("pairs", pair_keys, np.bincount(at, weight, len(pair_keys))))
+                for kind, x, n in asked:
+                    cut = _cuts(x, parts)
+                    rows = [(batch, p, kind, pack(steps(x[a:b]), n[a:b].astype(np.uint32))) for p, (a, b) in enumerate(zip(cut, cut[1:], strict=False)) if b > a]
+                    for i in range(0, len(rows), 256):
+                        yield _record(rows[i : i + 256])
 
     return run
 
@@ -208,62 +218,67 @@ class Batch:
             self.weights = joined("alpha", 0), joined("alpha", 1)
 
 
-def _masses(words: Discount, two: Discount, parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """For each history of the batch, what its own seen pairs add: (discounted counts, unigram
-    probabilities), cut by the history's part; the histories asked for are all of the batch."""
+def _masses(words: Discount, parts: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """For each history of the batch, what its own seen pairs add: unigram probabilities and counts, cut by the history's part; the histories asked for are all of the batch."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = Batch(frame)
         n = len(b.keys) + 1
         own = b.owner & (b.pair_count > 0)
         v, c = b.v[own], b.pair_count[own]
-        mass = np.bincount(v, two.discounted(c), n)
         lower = np.bincount(v, words.unigram(b.count[b.w[own]]), n)
-        hist = np.bincount(v, c, n)
+        # the counts themselves: pairs seen 1 to LIMIT times, and the sum of the larger counts
+        counts = [np.bincount(v[c == r], minlength=n) for r in range(1, LIMIT + 1)]
+        counts.append(np.bincount(v, np.where(c > LIMIT, c, 0), n))
         keys = np.append(b.keys, START)
         order = np.argsort(keys)
-        keys, mass, lower, hist = keys[order], mass[order], lower[order], hist[order]
+        keys, lower, counts = keys[order], lower[order], [x[order].astype(np.uint64) for x in counts]
         cut = _cuts(keys, parts)
-        rows = [(frame["batch"].iloc[0], p, "mass", pack(steps(keys[a:e]), mass[a:e], lower[a:e], hist[a:e])) for p, (a, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > a]
+        rows = [(frame["batch"].iloc[0], p, "mass", pack(steps(keys[a:e]), lower[a:e], *[x[a:e] for x in counts])) for p, (a, e) in enumerate(zip(cut, cut[1:], strict=False)) if e > a]
         return pd.DataFrame(rows, columns=["batch", "part", "kind", "body"])
 
     return run
 
 
-def _alphas(frame: pd.DataFrame) -> pd.DataFrame:
-    """Backoff weights of a part's histories, and the factor on their seen pairs over the history's
-    count, for each batch in the order it asked."""
-    blocks = [unpack(x) for x in frame["body"]]
-    keys = np.concatenate([unsteps(b[0]) for b in blocks])
-    known, at = np.unique(keys, return_inverse=True)
-    mass, lower, hist = (np.bincount(at, np.concatenate([b[k] for b in blocks]), len(known)) for k in (1, 2, 3))
-    with np.errstate(all="ignore"):
-        full = hist - mass < 1e-9 * hist
-        factor = np.where(full, 1 / (hist + 1), 1 / hist)
-        alpha = np.where(hist > 0, (1 - mass * factor) / np.maximum(1 - lower, 1e-300), 1.0)
-        factor = np.where(hist > 0, factor, 0.0)
-    out, first = [], 0
-    for batch, part, b in zip(frame["batch"], frame["part"], blocks, strict=True):
-        last = first + len(b[0])
-        out.append((batch, part, "alpha", pack(alpha[at[first:last]], factor[at[first:last]])))
-        first = last
-    return pd.DataFrame(out, columns=["batch", "part", "kind", "body"])
+def _alphas(two: Discount) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Backoff weights of a part's histories, and the histories' counts (one more where no count is
+    small enough to leave anything), for each batch in the order it asked."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        blocks = [unpack(x) for x in frame["body"]]
+        known, at = np.unique(np.concatenate([unsteps(b[0]) for b in blocks]), return_inverse=True)
+        lower, *counts = (np.bincount(at, np.concatenate([b[k] for b in blocks]).astype(float), len(known)) for k in range(1, LIMIT + 3))
+        seen = [(r * x, two.rate[r]) for r, x in enumerate(counts[:LIMIT], 1)] + [(counts[LIMIT], 1.0)]
+        hist, mass = sum(x for x, _ in seen), sum(x * d for x, d in seen)
+        with np.errstate(all="ignore"):
+            total = np.where(hist - mass < 1e-9 * hist, hist + 1, hist)
+            alpha = np.where(hist > 0, (1 - mass / total) / np.maximum(1 - lower, 1e-300), 1.0)
+        total = np.where(hist > 0, total, 0).astype(np.uint64)
+        out, first = [], 0
+        for batch, part, b in zip(frame["batch"], frame["part"], blocks, strict=True):
+            last = first + len(b[0])
+            out.append((batch, part, "alpha", pack(alpha[at[first:last]], total[at[first:last]])))
+            first = last
+        return pd.DataFrame(out, columns=["batch", "part", "kind", "body"])
+
+    return run
 
 
 def _scores(words: Discount, two: Discount) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         b = Batch(frame)
         order = np.argsort(np.append(b.keys, START))
-        alpha, factor = np.empty(len(order)), np.empty(len(order))
-        alpha[order], factor[order] = b.weights
+        alpha, factor = np.empty(len(order)), np.zeros(len(order))
+        alpha[order], total = b.weights
+        factor[order] = np.divide(1.0, total, out=np.zeros(len(total)), where=total > 0)
         c = b.pair_count
         with np.errstate(divide="ignore"):
             log = np.log10(np.where(c > 0, two.discounted(c) * factor[b.v], alpha[b.v] * words.unigram(b.count[b.w])))
         base = np.log10((b.count + 1) / (words.tokens + words.types + 1))
-        total = lambda x: np.add.reduceat(x, b.first)
+        sums = lambda x: np.add.reduceat(x, b.first)
         return pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(b.ids.astype(np.int64), b.nameless.astype(bool)), "held_out": b.held, "n_tokens": b.lengths,
-            "n_known": total((b.count > 0)[b.words].astype(np.int64)), "train_tokens": words.tokens, "base_score": total(base[b.words]), "score": total(log[b.at])})
+            "n_known": sums((b.count > 0)[b.words].astype(np.int64)), "train_tokens": words.tokens, "base_score": sums(base[b.words]), "score": sums(log[b.at])})
 
     return run
 
@@ -279,18 +294,15 @@ def score_documents(docs: DataFrame, mod: int = 7, rest: int = 2) -> DataFrame:
     texts = id_text(docs).withColumn("held", held)
     size = texts.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
     parts = int(size // PART) + 1
-    batches = scratch.save(texts.mapInArrow(number_tokens(parts), _ROWS))
-    asked = batches.where("kind <> 'docs'")
-    counted = scratch.save(asked.groupBy("part").applyInPandas(_count, _COUNTED))
+    documents = scratch.save(texts.mapInArrow(_number_tokens, _ROWS))
+    counted = scratch.save(documents.mapInArrow(ask(parts), _ROWS).groupBy("part").applyInPandas(_count, _COUNTED))
     sums = {r["kind"]: r for r in counted.where("counts is not null").groupBy("kind").agg(
         *[F.sum(F.get("counts", F.lit(k))).alias(f"c{k}") for k in range(LIMIT + 3)]).collect()}
     zero = [0] * (LIMIT + 3)
     words, two = (Discount([sums[k][f"c{i}"] for i in range(LIMIT + 3)] if k in sums else zero) for k in ("words", "pairs"))
-    documents = scratch.save(batches.where("kind = 'docs'"))
-    scratch.drop(batches)
     known = documents.union(counted.drop("counts"))
-    masses = scratch.save(known.groupBy("batch").applyInPandas(_masses(words, two, parts), _ROWS))
-    alphas = scratch.save(masses.groupBy("part").applyInPandas(_alphas, _ROWS))
+    masses = scratch.save(known.groupBy("batch").applyInPandas(_masses(words, parts), _ROWS))
+    alphas = scratch.save(masses.groupBy("part").applyInPandas(_alphas(two), _ROWS))
     scratch.drop(masses)
     return known.union(alphas).groupBy("batch").applyInPandas(_scores(words, two), _SCORED)
 
