@@ -19,15 +19,17 @@ DataFrame operations only. Buckets meet in plain equi-joins that adaptive execut
 nothing but the fixed-size table of counts reaches the driver.
 
 Cases: null or empty text has no lines to remove; a blank line is kept; repeated rows (one doc_id and
-text) are one document's lines twice, both rows lose the same lines; rows without doc_id count as
-document null, before all others; an empty table gives an empty table; a very long line is one set.
+text) are one document's lines twice, both rows lose the same lines; rows that share a doc_id but not
+the text are documents of their own, in the order of their texts' hashes; rows without doc_id are each
+a document, before all others, so of two with one text the second has copies only; an empty table
+gives an empty table; a very long line is one set.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, id_text, let
@@ -38,9 +40,14 @@ CELLS = 1 << 17
 TIERS = 5  # of counts, for each doubling
 
 
+def _doc() -> Column:
+    """A document's key: its id and a hash of its text, as neither null nor repeated ids name one."""
+    return F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.xxhash64("text").alias("hash"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, pos, line and its 128-bit key, for all lines."""
-    rows = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    rows = docs.select(_doc().alias("doc"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return rows.select("doc", "pos", "line", F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(977), "line", F.length("line")).alias("k2"))
 
 
@@ -130,6 +137,12 @@ def similar_later(sets: DataFrame, scratch: Scratch) -> DataFrame:
     return done.union(more)
 
 
+def _numbered(texts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """texts and `copy`, which counts the rows of one text that have no doc_id; 1 for all others."""
+    w = Window.partitionBy(F.xxhash64("text")).orderBy("text", *columns)
+    return texts.where("doc_id is not null").withColumn("copy", F.lit(1)).union(texts.where("doc_id is null").withColumn("copy", F.row_number().over(w)))
+
+
 def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, further columns, text without the removed lines, n_lines and n_removed."""
     scratch = Scratch(docs.sparkSession, "lines")
@@ -145,12 +158,13 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     scratch.drop(all_sets)
     out = lines.select("doc", "pos", "k1", "k2").join(judged, ["k1", "k2"]).where("similar or doc <> fd or pos <> fp")
     gone = scratch.save(out.groupBy("doc").agg(F.collect_set("pos").alias("gone")))
-    rows = texts.withColumn("doc", F.coalesce("doc_id", F.lit(-(2**63)))).join(gone, "doc", "left")
+    rows = _numbered(texts, columns).withColumn("doc", _doc()).join(gone, "doc", "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, k: ~F.array_contains("gone", k))
+    short, later = F.filter(parts, lambda x: _words(x)["n"] < MIN_TOKENS), F.col("copy") > 1
     return rows.select(
-        "doc_id", *columns, F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
-        F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+        "doc_id", *columns, F.when(later, F.array_join(short, "\n")).when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
+        F.size(parts).cast("long").alias("n_lines"), F.when(later, F.size(parts) - F.size(short)).otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:

@@ -48,6 +48,16 @@ def test_line_dedup_keeps_every_row(awkward):
     assert line_dedup.op4_line_dedup(awkward).count() == awkward.count()
 
 
+def test_line_dedup_tells_rows_without_or_with_one_id_apart(spark):
+    clean, other, again = "one clean line stands here\nand another one follows it", "some boiler plate line here\nwith words of its own", "some boiler plate line here\nbut a different second line"
+    rows = [(None, clean), (None, other), (None, again), (None, again), (5, "five has this line alone\nsix words are in this one"), (5, "some boiler plate line here\nlast words of the second five")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["n_removed"] for r in out) == 4 and len(out) == 6
+    left = Counter(x for r in out for x in r["text"].split("\n") if x)
+    assert left == Counter({x for _, t in rows for x in t.split("\n")})
+    assert sorted(r["n_removed"] for r in out if r["doc_id"] == 5) == [0, 1]
+
+
 def shingles(text):
     w = re.findall(WORD, text.translate(LOWER))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
