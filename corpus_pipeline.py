@@ -34,7 +34,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go; a document of which no word is left goes too."""
-    kept = line_dedup.dedup_lines(_documents(docs), ("lang", "source"))
+    kept = line_dedup.dedup_lines(_documents(docs), ("lang", "source"), short_copies=True)
     return kept.where(F.rlike("text", F.lit(f"[^{SPACE_CLASS}]"))).select(
         "doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 

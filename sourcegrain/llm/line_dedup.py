@@ -1,8 +1,9 @@
 """Line dedup: an exact set-similarity join of lines, which removes later matches.
 
-A line is the set of its distinct lower-case words; lines with fewer than MIN_TOKENS are left alone.
-A line is removed if an earlier line (by doc_id, then position) has the same set, or one with Jaccard
-similarity of THRESHOLD percent or more.
+A line is the set of its distinct lower-case words. A line is removed if an earlier line (by doc_id,
+then position) has the same set, or one with Jaccard similarity of THRESHOLD percent or more; lines
+with fewer than MIN_TOKENS words are not compared as sets, but with `short_copies` (as the query and
+the pipeline have it) they are removed as well if an earlier line is the same byte for byte.
 
 1. Equal lines collapse to their first.
 2. Tokens are ordered by rarity. Counts over all sets go into a hashed table of fixed size, whose
@@ -143,8 +144,9 @@ def _numbered(texts: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     return texts.where("doc_id is not null").withColumn("copy", F.lit(1)).union(texts.where("doc_id is null").withColumn("copy", F.row_number().over(w)))
 
 
-def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = (), short_copies: bool = False) -> DataFrame:
     """doc_id, further columns, text without the removed lines, n_lines and n_removed."""
+    least = 1 if short_copies else MIN_TOKENS  # words of a line that is judged
     scratch = Scratch(docs.sparkSession, "lines")
     texts = id_text(docs, columns)
     lines = _lines(texts)
@@ -153,7 +155,8 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     all_sets = scratch.save(sets)  # filtered when read again, or the words would be made once more for the filter
     sets = all_sets.where(F.col("n") >= MIN_TOKENS)
     similar = similar_later(sets, scratch).select("doc", "pos", F.lit(True).alias("similar"))
-    judged = sets.select("k1", "k2", "copies", "doc", "pos").join(similar, ["doc", "pos"], "left").where("similar or copies > 1")
+    whole = all_sets.where((F.col("n") >= MIN_TOKENS) | (F.col("n") >= least) & (F.col("copies") > 1))
+    judged = whole.select("k1", "k2", "copies", "doc", "pos").join(similar, ["doc", "pos"], "left").where("similar or copies > 1")
     judged = scratch.save(judged.select("k1", "k2", F.col("doc").alias("fd"), F.col("pos").alias("fp"), "similar"))
     scratch.drop(all_sets)
     out = lines.select("doc", "pos", "k1", "k2").join(judged, ["k1", "k2"]).where("similar or doc <> fd or pos <> fp")
@@ -161,11 +164,11 @@ def dedup_lines(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     rows = _numbered(texts, columns).withColumn("doc", _doc()).join(gone, "doc", "left")
     parts = F.split("text", "\n")
     kept = F.filter(parts, lambda x, k: ~F.array_contains("gone", k))
-    short, later = F.filter(parts, lambda x: _words(x)["n"] < MIN_TOKENS), F.col("copy") > 1
+    short, later = F.filter(parts, lambda x: _words(x)["n"] < least), F.col("copy") > 1
     return rows.select(
         "doc_id", *columns, F.when(later, F.array_join(short, "\n")).when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.size(parts).cast("long").alias("n_lines"), F.when(later, F.size(parts) - F.size(short)).otherwise(F.coalesce(F.size("gone"), F.lit(0))).cast("long").alias("n_removed"))
 
 
 def op4_line_dedup(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, short_copies=True).select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

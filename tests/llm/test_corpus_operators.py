@@ -58,6 +58,18 @@ def test_line_dedup_tells_rows_without_or_with_one_id_apart(spark):
     assert sorted(r["n_removed"] for r in out if r["doc_id"] == 5) == [0, 1]
 
 
+def test_line_dedup_removes_exact_copies_of_short_lines(spark, sf_dir):
+    odd = [(90_001, "Die.\n\n \nAll rights reserved.\ndie."), (90_002, "没有空格的一行很长的文字\n\nAll rights reserved."), (90_003, "Die.\n没有空格的一行很长的文字\nDie. \n")]
+    docs = spark.createDataFrame(odd, "doc_id long, text string")
+    lost = {r["doc_id"]: (r["n_removed"], r["kept_sha256"]) for r in line_dedup.op4_line_dedup(docs).collect()}
+    left = {90_001: (0, odd[0][1]), 90_002: (1, "没有空格的一行很长的文字\n"), 90_003: (2, "Die. \n")}
+    assert lost == {k: (n, hashlib.sha256(t.encode()).hexdigest()) for k, (n, t) in left.items()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kept = [x for r in line_dedup.dedup_lines(docs, short_copies=True).collect() for x in r["text"].split("\n") if re.search(WORD, x)]
+    assert len(kept) == len(set(kept))
+    assert {x for r in docs.collect() for x in (r["text"] or "").split("\n") if re.search(WORD, x) and len(set(re.findall(WORD, x.lower()))) < line_dedup.MIN_TOKENS} <= set(kept)
+
+
 def shingles(text):
     w = re.findall(WORD, text.translate(LOWER))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
