@@ -6,10 +6,10 @@ the bytes from each word on) and copies bytes to its output, moving on or stayin
 for (step, byte) says, so that few edits leave most of the output equal: edit distance becomes
 Hamming distance. Tables of randomly chosen output positions (bit sampling), over several walks, find
 the windows whose samples equal a block's; a passage with an unedited block is found for certain,
-others with the recall that the number of tables sets. Only windows that share at least RUN of their
-GRAM-byte strings with the items are walked over at all: those with an unedited stretch of
-GRAM + RUN - 1 bytes in a block. Each hit is verified exactly, by the edit
-distance of the whole item to the best-fitting stretch of the document around the hit.
+others with the recall that the number of tables sets. The windows are those of all words. A hit goes
+on if the document holds as many of the item's GRAM-byte strings around it as any passage within EDITS
+must (an edit changes GRAM of them, in bytes), and is then verified exactly, by the edit distance of
+the whole item to the best-fitting stretch of the document around the hit.
 
 Documents are scanned row by row, without a shuffle. The benchmark's tables are broadcast in shares
 of at most SHARE_BYTES of text; a larger benchmark takes several scans, with the same result.
@@ -39,7 +39,7 @@ WALKS, TABLES, SAMPLES = 2, 6, 7
 #: Output length of a walk: over a long block, and over the few bytes of a short item.
 LONG, SHORT = 96, 20
 SHARE_BYTES = 4 << 20
-GRAM, RUN = 12, 6
+GRAM = 5
 CELLS = 1 << 20
 WINDOWS = 1 << 15
 
@@ -82,14 +82,13 @@ def keys(data: np.ndarray, starts: np.ndarray, steps: int) -> Iterator[tuple[int
 
 
 def grams(data: np.ndarray) -> np.ndarray:
-    """A hash of the GRAM bytes from each position on."""
-    x = words64(data)
-    n = max(0, len(data) - GRAM + 1)
-    tail = GRAM - 8
-    y = x[:n] * np.uint64(0x9E3779B97F4A7C15) + x[tail : tail + n]
-    y ^= y >> np.uint64(31)
-    y *= np.uint64(0xC2B2AE3D27D4EB4F)
-    return y >> np.uint64(20)
+    """A hash of the GRAM bytes from each position on, for as many positions as have eight bytes."""
+    return (mix(words64(data) & np.uint64((1 << 8 * GRAM) - 1)) >> np.uint64(32)).astype(np.uint32)
+
+
+def least_shared(item: str, most: int) -> int:
+    """How many of the item's byte grams stand in any passage within `most` edits of it."""
+    return len(item.encode()) - GRAM + 1 - most * (GRAM - 1 + max(len(c.encode()) for c in item))
 
 
 def word_starts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -139,10 +138,14 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, s) for i, s in items if len(s.encode()) >= MIN_BYTES]
         self.by_steps = {}
-        whole = np.concatenate([np.empty(0, np.uint64), *[grams(np.frombuffer(s.encode(), np.uint8)) for _, s in self.items]])
-        self.mask = np.uint64(max(CELLS, 1 << int(16 * len(whole) + 1).bit_length()) - 1)
+        raws = [np.frombuffer(s.encode() + bytes(8 - GRAM), np.uint8) for _, s in self.items]
+        self.size = np.array([len(s.encode()) for _, s in self.items], np.int64)
+        self.most = np.array([int(EDITS * len(s)) for _, s in self.items], np.int64)
+        self.need = np.array([least_shared(s, int(EDITS * len(s))) for _, s in self.items], np.int64)
+        self.mask = np.uint32(max(CELLS, 1 << int(16 * sum(map(len, raws)) + 1).bit_length()) - 1)
         self.grams = np.zeros(int(self.mask) + 1, bool)
-        self.grams[whole & self.mask] = True
+        for k, raw in enumerate(raws):
+            self.grams[self.cell(np.full(1, k), grams(raw))] = True
         for steps in (LONG, SHORT):
             blocks = []
             for k, (_, s) in enumerate(self.items):
@@ -166,30 +169,47 @@ class Index:
                 cells[x & np.uint64(CELLS - 1)] = True
                 self.by_steps[steps] = x[order], b[order], cells, np.array([(k, j) for k, j, _ in blocks])
 
+    def cell(self, k: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """Where an item's gram stands in the table."""
+        return gram + (k * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32) & self.mask
+
+    def around(self, k: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From where to where a row has to be looked at for item k that begins at about `at`."""
+        most = self.most[k]
+        return np.maximum(0, at * 16 - most - 16), at * 16 + self.size[k] + most + 48
+
+    def near(self, hits: np.ndarray, gram: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Of hits (row, item, place), those around which enough of the item's grams stand."""
+        row, k, at = hits.T
+        lo, hi = self.around(k, at)
+        lo, hi = lo + off[row], np.minimum(hi + off[row], off[row + 1])
+        enough = np.zeros(len(hits), bool)
+        order = np.argsort(hi - lo, kind="stable")
+        for a in range(0, len(order), 1024):
+            some = order[a : a + 1024]
+            pos = lo[some, None] + np.arange(max(0, int((hi - lo)[some[-1]])))
+            met = self.grams[self.cell(k[some, None], gram[np.minimum(pos, len(gram) - 1)])]
+            enough[some] = (met & (pos < hi[some, None])).sum(1) >= self.need[k[some]]
+        return hits[enough]
+
     def hits(self, data: np.ndarray, off: np.ndarray) -> set[tuple[int, int, int]]:
         """(row, item, about where the item would begin, in units of 16 bytes)."""
         out: set[tuple[int, int, int]] = set()
         starts = word_starts(data, off)
         padded = np.concatenate((data, np.zeros(LONG + 1, np.uint8)))
-        shared = np.zeros(len(padded) + 1, np.int32)
-        met = self.grams[grams(padded) & self.mask]
-        np.cumsum(met, out=shared[1 : len(met) + 1])
-        shared[len(met) + 1 :] = shared[len(met)]
+        gram = grams(padded)
         for steps, (known, block, cells, where) in self.by_steps.items():
-            reach, least = (56 - GRAM + 1, RUN) if steps == LONG else (MIN_BYTES - GRAM + 1, 1)
-            close = starts[shared[starts + reach] - shared[starts] >= least]
-            for a in range(0, len(close), WINDOWS):
-                some = close[a : a + WINDOWS]
+            for a in range(0, len(starts), WINDOWS):
+                some, found = starts[a : a + WINDOWS], []
+                rows = np.searchsorted(off, some, "right") - 1
                 for _, x in keys(padded, some, steps):
                     maybe = np.flatnonzero(cells[x & np.uint64(CELLS - 1)])
-                    if not len(maybe):
-                        continue
                     lo, hi = np.searchsorted(known, x[maybe], "left"), np.searchsorted(known, x[maybe], "right")
-                    for w, i, j in zip(maybe[hi > lo], lo[hi > lo], hi[hi > lo], strict=True):
-                        row = int(np.searchsorted(off, some[w], "right")) - 1
-                        for b in block[i:j]:
-                            k, at = where[b]
-                            out.add((row, int(k), (int(some[w]) - int(off[row]) - int(at)) // 16))
+                    n = hi - lo
+                    w = np.repeat(maybe, n)
+                    k, at = where[block[np.arange(len(w)) + np.repeat(lo - np.cumsum(n) + n, n)]].T
+                    found.append(np.stack((rows[w], k, (some[w] - off[rows[w]] - at) // 16), 1))
+                out.update(map(tuple, self.near(np.unique(np.concatenate(found), axis=0), gram, off).tolist()))
         return out
 
 
@@ -229,10 +249,8 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFr
                     texts, base = part.column("text"), part.column("row")[0].as_py()
                     for row, k, at in sorted(index.hits(data, off)):
                         item_id, item = index.items[k]
-                        most = int(EDITS * len(item))
+                        most, (lo, hi) = int(index.most[k]), (int(x) for x in index.around(np.int64(k), np.int64(at)))
                         raw = data[off[row] : off[row + 1]].tobytes()
-                        size = len(item.encode())
-                        lo, hi = max(0, at * 16 - most - 16), at * 16 + size + most + 48
                         before = raw[:lo].decode(errors="ignore")
                         fit = best_fit(item, raw[lo:hi].decode(errors="ignore"), most)
                         if fit:

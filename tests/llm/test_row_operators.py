@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -215,3 +216,16 @@ def test_leaks_exact_and_edited(spark, awkward, sf_dir, nothing):
     assert sum((doc, item) in got for doc, _, item in planted) >= 0.9 * len(planted)
     assert all(doc in {p[0] for p in planted} or decontaminate.best_fit(dict(known)[item], plain[doc], len(dict(known)[item]) // 10) for doc, item in got)
     assert decontaminate.op8_decontaminate(nothing, items).count() == 0 and decontaminate.op8_decontaminate(docs, items.limit(0)).count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdé ", min_size=24, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.sampled_from(["", "x", "éa"])), max_size=6), st.integers(0, 40))
+def test_grams_asked_for_stand_in_every_passage(item, edits, before):
+    text = list(item)
+    for i, x in edits:
+        text[i % len(text)] = x
+    passage, raw = "".join(text), item.encode()
+    known = {raw[i : i + decontaminate.GRAM] for i in range(len(raw) - decontaminate.GRAM + 1)}
+    over = ("z" * before + passage).encode()
+    d = distance(item, passage)
+    assert sum(over[i : i + decontaminate.GRAM] in known for i in range(len(over))) >= decontaminate.least_shared(item, d)
