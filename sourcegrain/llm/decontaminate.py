@@ -1,7 +1,7 @@
 """Benchmark decontamination: passages of documents within a small edit distance of a benchmark item.
 
-Texts are lower-cased, and runs of anything but letters and digits become one blank. Items are cut
-into blocks that begin at a word, STRIDE bytes apart. A CGK walk reads a block (or, in a document,
+Texts are lower-cased, and runs of anything but letters and digits become one blank. Every word of an
+item begins a block, if LEAST bytes of the item are left. A CGK walk reads a block (or, in a document,
 the bytes from each word on) and copies bytes to its output, moving on or staying as a random bit
 for (step, byte) says, so that few edits leave most of the output equal: edit distance becomes
 Hamming distance. Tables of randomly chosen output positions (bit sampling), over several walks, find
@@ -34,10 +34,11 @@ from .common import id_text, mix, text_slices, words64
 #: Edits allowed, as a share of the item's characters.
 EDITS = 0.10
 MIN_BYTES = 24
-STRIDE = 48
 WALKS, TABLES, SAMPLES = 2, 6, 7
 #: Output length of a walk: over a long block, and over the few bytes of a short item.
 LONG, SHORT = 96, 20
+#: Bytes of an item that a block needs, by the output length of its walk.
+LEAST = {LONG: 32, SHORT: 12}
 SHARE_BYTES = 4 << 20
 GRAM = 5
 CELLS = 1 << 20
@@ -152,12 +153,7 @@ class Index:
                 raw = s.encode()
                 if (len(raw) >= 64) != (steps == LONG):
                     continue
-                starts = [j for j in range(len(raw)) if j == 0 or raw[j - 1] == 32]
-                last = -STRIDE
-                for j in starts:
-                    if j - last >= STRIDE and (j == 0 or j + 56 <= len(raw)):
-                        blocks.append((k, j, raw))
-                        last = j
+                blocks += [(k, j, raw) for j in range(len(raw)) if j == 0 or raw[j - 1] == 32 and j + LEAST[steps] <= len(raw)]
             if blocks:
                 data = np.frombuffer(b"".join(raw + bytes(steps + 1) for _, _, raw in blocks), np.uint8)
                 base = np.cumsum([0, *[len(raw) + steps + 1 for _, _, raw in blocks[:-1]]])

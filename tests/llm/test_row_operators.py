@@ -218,6 +218,32 @@ def test_leaks_exact_and_edited(spark, awkward, sf_dir, nothing):
     assert decontaminate.op8_decontaminate(nothing, items).count() == 0 and decontaminate.op8_decontaminate(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("least, most", [(24, 40), (40, 64), (64, 80), (80, 105), (105, 160), (160, 500)])
+@pytest.mark.parametrize("spread", [True, False])
+def test_leaks_of_every_length_at_the_edits_allowed(spark, least, most, spread):
+    """Recall at EDITS, edits at random places and spread evenly, of passages that exact search accepts."""
+    rng = random.Random(least)
+    known = [(r["item_id"], decontaminate.normalise(pa.array([r["text"]], pa.string()))[0].as_py()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()]
+    if least < 80:
+        known = [(i, s[: rng.randrange(least, most)].strip()) for i, s in known]
+    known = [(i, s) for i, s in known if least <= len(s) < most]
+    index, found, all_ = decontaminate.Index(known), 0, 0
+    for n in range(80):
+        k = n % len(known)
+        item, s = known[k]
+        c, edits = list(s), int(decontaminate.EDITS * len(s))
+        for j in [int((e + 0.5) * len(s) / edits) for e in range(edits)] if spread else rng.sample(range(len(s)), edits):
+            c[j] = rng.choice("qxzjk")
+        text = "before it " + "".join(c) + " and words behind it"
+        raw = np.frombuffer(text.encode(), np.uint8)
+        places = [at for _, x, at in index.hits(raw, np.array([0, len(raw)])) if x == k]
+        spans = [index.around(np.int64(k), np.int64(at)) for at in places]
+        assert decontaminate.best_fit(s, text, edits)
+        found += any(decontaminate.best_fit(s, raw[a:b].tobytes().decode(errors="ignore"), edits) is not None for a, b in spans)
+        all_ += 1
+    assert found >= 0.9 * all_
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abcdé ", min_size=24, max_size=60), st.lists(st.tuples(st.integers(0, 59), st.sampled_from(["", "x", "éa"])), max_size=6), st.integers(0, 40))
 def test_grams_asked_for_stand_in_every_passage(item, edits, before):
