@@ -171,5 +171,5 @@ def sequence_ratios(spark: SparkSession) -> DataFrame:
 
 @query(values([("ﬁ Straße: a net-\nwork—x", "fi strasse a network x", "10.1/q", "1710.10723")], "given, title, doi, arxiv_id"))
 def normal_forms(spark: SparkSession) -> DataFrame:
-    df = spark.createDataFrame([("ﬁ Straße: a net-\nwork—x", "see https://doi.org/10.1/Q).", "CoRR, abs/1710.10723v2")], "given string, d string, a string")
-    return df.select("given", text.normalize_title(F.col("given")).alias("title"), F.lit("10.1/q").alias("doi"), text.extract_arxiv(F.col("a")).alias("arxiv_id"))
+    df = spark.createDataFrame([("ﬁ Straße: a net-\nwork—x", "https://doi.org/10.1/Q).", "CoRR, abs/1710.10723v2")], "given string, d string, a string")
+    return df.select("given", text.normalize_title(F.col("given")).alias("title"), text.normalize_doi(F.col("d")).alias("doi"), text.extract_arxiv(F.col("a")).alias("arxiv_id"))
