@@ -2,16 +2,22 @@
 
 Level by level, the children of a tree node become one wildcard `*` where the segment is variable
 (many distinct values for the rows), siblings whose labelled shares do not differ significantly
-merge into one branch `+`, and the rest keep their text. The rules' own verdicts are the labels. A
-template is rejected where its share of blocked labels, smoothed towards its host's and the whole
-table's, reaches PURITY.
+merge into one branch `+`, and the rest keep their text. The rules' own verdicts are the labels.
+
+Most hosts have few labels or none, so a tree is learned twice: first from the paths of all hosts
+together, then for each host, where every url counts besides its own labels as much as SMOOTH labelled
+ones of the share that its path has in the first tree. A template is rejected where its share of
+blocked labels, smoothed in this way, reaches PURITY.
 
 All counts are partial aggregates over distinct (host, path), so a host with a third of all pages is
-summed before any shuffle; the joins back are plain equi-joins that adaptive execution may split.
+summed before any shuffle; what is joined back by host and template is dealt out by SALTS of the path
+too, so that such a host lands in no single task.
 
 Cases: a null url, or one without `://`, has empty host and path, no rule and the method's verdict
 on the empty host; repeated rows count as often as they occur; ties between rules cannot occur (the
-texts differ in length where both fit); an empty table gives an empty table.
+texts differ in length where both fit); an empty table gives an empty table; a very long url is one
+url, its path beyond LEVELS segments one more segment; further columns of the input, whatever their
+names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +40,7 @@ LEVELS = 4
 FAN, SHARE = 5, 0.2  # a position is variable with so many children, and so many to a row
 Z = 1.96
 SMOOTH, PURITY = 5.0, 0.7
+SALTS = 16
 
 
 def host_of(url: Column) -> Column:
@@ -65,24 +72,32 @@ def _segments(path: Column) -> Column:
     return F.when(F.size(parts) > LEVELS, F.array_append(F.slice(parts, 1, LEVELS), deep)).otherwise(parts)
 
 
+def _with(rows: DataFrame, few: DataFrame, by: Column) -> DataFrame:
+    """rows joined with `few`, which has one row a (host, template); `by` deals a host's rows out."""
+    salted = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(salted, ["host", "template", "salt"]).drop("salt")
+
+
 def learn_templates(urls: DataFrame, scratch: Scratch) -> DataFrame:
-    """From (host, path, n, allowed, blocked), one row for each: host, path, template."""
+    """From (host, path, n, allowed, blocked, hope), the same rows with their template; hope is the share
+    of blocked labels that a url has for other reasons."""
     nodes = scratch.save(urls.withColumn("segments", _segments(F.col("path"))).withColumn("template", F.lit("")))
     for level in range(LEVELS + 1):
         at = nodes.withColumn("segment", F.get("segments", F.lit(level)))
         kids = at.where("segment is not null").groupBy("host", "template", "segment").agg(
-            F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
+            F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.sum(F.col("n") * F.col("hope")).alias("g"))
         parents = kids.groupBy("host", "template").agg(
-            F.count("*").alias("fan"), F.sum("n").alias("all_n"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
-        both = kids.join(parents, ["host", "template"])
-        mine, rest = F.col("a") + F.col("b"), F.col("all_a") + F.col("all_b") - F.col("a") - F.col("b")
-        p = (F.col("b") + 0.5) / (mine + 1)
-        q = (F.col("all_b") - F.col("b") + 0.5) / (rest + 1)
-        pool = (F.col("all_b") + 1.0) / (F.col("all_a") + F.col("all_b") + 2)
-        z = F.abs(p - q) / F.sqrt(pool * (1 - pool) * (1 / (mine + 1) + 1 / (rest + 1)))
+            F.count("*").alias("fan"), F.sum("n").alias("all_n"), F.sum("a").alias("all_a"), F.sum("b").alias("all_b"), F.sum("g").alias("all_g"))
+        both = _with(kids, parents, F.col("segment"))
+        c = lambda x: F.col(x).cast("double")
+        b1, n1 = c("b") + SMOOTH * c("g") / c("n"), c("a") + c("b") + SMOOTH
+        b2 = c("all_b") - c("b") + SMOOTH * (c("all_g") - c("g")) / (c("all_n") - c("n"))
+        n2 = c("all_a") - c("a") + c("all_b") - c("b") + SMOOTH
+        pool = (b1 + b2) / (n1 + n2)
+        alike = F.coalesce(F.abs(b1 / n1 - b2 / n2) < Z * F.sqrt(F.greatest(pool * (1 - pool), F.lit(1e-9)) * (1 / n1 + 1 / n2)), F.lit(True))
         named = (
             F.when((F.col("fan") >= FAN) & (F.col("fan") >= SHARE * F.col("all_n")), "*")
-            .when((F.col("fan") > 1) & ((mine == 0) | (rest == 0) | (z < Z)), "+")
+            .when(F.when(F.col("fan") > 1, alike).otherwise(False), "+")
             .otherwise(F.concat(F.lit("="), F.col("segment")))
         )
         named = both.select("host", "template", "segment", named.alias("name"))
@@ -93,25 +108,29 @@ def learn_templates(urls: DataFrame, scratch: Scratch) -> DataFrame:
     return nodes
 
 
+def blocked_shares(nodes: DataFrame) -> DataFrame:
+    """host, template, blocked_share: blocked labels of all labels, smoothed towards what is hoped for."""
+    sums = nodes.groupBy("host", "template").agg(
+        F.sum("n").alias("n"), F.sum("allowed").alias("a"), F.sum("blocked").alias("b"), F.sum(F.col("n") * F.col("hope")).alias("g"))
+    return sums.select("host", "template", ((F.col("b") + SMOOTH * F.col("g") / F.col("n")) / (F.col("a") + F.col("b") + SMOOTH)).alias("blocked_share"))
+
+
 def filter_urls(pages: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, and the template and its smoothed share of blocked labels."""
-    spark = pages.sparkSession
-    scratch = Scratch(spark, "urls")
+    scratch = Scratch(pages.sparkSession, "urls")
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("rule_no", rule_index(F.col("host"), F.col("path")))
     label = _verdict(F.col("rule_no"))
-    urls = rows.groupBy("host", "path").agg(
-        F.count("*").alias("n"), F.count_if(label == "allow").alias("allowed"), F.count_if(label == "block").alias("blocked"))
-    nodes = learn_templates(urls, scratch)
-    a, b = F.col("a"), F.col("b")
-    templates = nodes.groupBy("host", "template").agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b"))
-    hosts = templates.groupBy("host").agg(F.sum("a").alias("host_a"), F.sum("b").alias("host_b"))
-    whole = nodes.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
+    urls = scratch.save(rows.groupBy("host", "path").agg(
+        F.count("*").alias("n"), F.count_if(label == "allow").alias("allowed"), F.count_if(label == "block").alias("blocked")))
+    paths = urls.groupBy("path").agg(*[F.sum(c).alias(c) for c in ("n", "allowed", "blocked")])
+    whole = paths.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     prior = ((whole["b"] or 0) + 1) / ((whole["a"] or 0) + (whole["b"] or 0) + 2)
-    of_host = (F.col("host_b") + SMOOTH * prior) / (F.col("host_a") + F.col("host_b") + SMOOTH)
-    share = templates.join(hosts, "host").select("host", "template", ((b + SMOOTH * of_host) / (a + b + SMOOTH)).alias("blocked_share"))
-    known = nodes.select("host", "path", "template").join(share, ["host", "template"], "left")
+    everywhere = learn_templates(paths.select(F.lit("").alias("host"), "*", F.lit(prior).alias("hope")), scratch)
+    hopes = _with(everywhere.select("host", "template", "path"), blocked_shares(everywhere), F.col("path"))
+    nodes = learn_templates(urls.join(hopes.select("path", F.col("blocked_share").alias("hope")), "path"), scratch)
+    known = _with(nodes.select("host", "path", "template"), blocked_shares(nodes), F.col("path"))
     out = rows.join(known, ["host", "path"], "left")
     learned = F.when(F.col("blocked_share") >= PURITY, "block").otherwise("allow")
     return out.select(
