@@ -3,7 +3,9 @@ zero-copy views of Arrow text columns."""
 
 from __future__ import annotations
 
+import contextlib
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,10 +39,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Only a session in one process may do without naming it: nobody
+    else reads what it writes."""
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = getattr(scratch_root, "own", None) or "file://" + tempfile.mkdtemp(prefix="sourcegrain-")
         scratch_root.own = root
     return root.rstrip("/")
@@ -60,14 +65,19 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
+        del df  # else its plan, and with it the shuffle files, would outlive release()
         self.release()
         return out
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more;
-        without it they stay until the driver happens to collect its garbage."""
+        without it they stay until the driver happens to collect its garbage. Events that still wait
+        for their listeners refer to plans, so these go first."""
+        jvm = self.spark.sparkContext._jvm
+        with contextlib.suppress(Exception):
+            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table nothing will read again; a failure to delete does no harm."""
