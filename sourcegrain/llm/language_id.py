@@ -6,13 +6,14 @@ of the classifiers' margins against each codeword, weighted by how reliable a bi
 that language in training, and takes the nearest codeword. A text whose two nearest codewords lie
 close together is flagged as ambiguous.
 
-The classifiers are fitted on at most SAMPLE_ROWS labelled rows (a documented bound, drawn by a hash
-of text and label); what reaches the driver is one table of BUCKETS counts a language, of the
-MAX_LANGS most frequent languages of the sample. Prediction is per row, over whole texts.
+The classifiers are fitted on about SAMPLE_ROWS labelled rows (a documented bound, drawn by a hash of
+text and label, in equal shares for all languages, so a rare one is there too); what reaches the driver
+is one table of BUCKETS counts a language. Prediction is per row, over whole texts.
 
 Cases: null text, or text without a letter, is `und` with score 0; with no labelled rows everything
 is `und`; with one language every text with a letter gets it; ties go to the alphabetically first
-language; repeated rows are judged alike; an empty table gives an empty table.
+language; repeated rows are judged alike; an empty table gives an empty table; a very long text is read
+STRETCH bytes at a time; further columns of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, id_text, mix, text_slices
 
 SAMPLE_ROWS = 20_000
-MAX_LANGS = 200
 SAMPLE_PARTS = 8
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 14
+STRETCH = 1 << 19
 SHARPNESS = 4.0
 AMBIGUOUS = 0.60  # least score of a clear prediction, as a share of the way from 1 / languages to 1
 UNKNOWN = "und"
@@ -65,13 +66,11 @@ _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
 
 
-def histograms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Rows x BUCKETS counts of hashed byte n-grams; letters only, everything else in ASCII reads as
-    a blank, and n-grams of blanks alone do not count."""
-    rows = len(off) - 1
+def grams(data: np.ndarray, off: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each size, the row and the bucket of each byte n-gram that begins before `upto`; letters only,
+    everything else in ASCII reads as a blank, and n-grams of blanks alone do not count."""
     x = _FOLD[data].astype(np.uint32)
-    row = np.repeat(np.arange(rows), np.diff(off))
-    out = np.zeros(rows * BUCKETS)
+    row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     code, blank = np.zeros(len(x), np.uint32), np.ones(len(x), bool)
     shift = np.uint32(32 - 14)
     for size in range(1, max(SIZES) + 1):
@@ -81,25 +80,37 @@ def histograms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
         code = code[:n] * np.uint32(257) + x[size - 1 :] + np.uint32(size == 1)
         blank = blank[:n] & (x[size - 1 :] == 32)
         ok = (row[:n] == row[size - 1 :]) & ~blank
+        ok[upto:] = False
         h = ((code * np.uint32(2654435761)) ^ np.uint32(size * 0x9E3779)) * np.uint32(0x85EBCA6B) >> shift
-        out += np.bincount((row[:n] * BUCKETS + h)[ok], minlength=len(out))
-    return out.reshape(rows, BUCKETS)
+        yield row[:n][ok], h[ok].astype(np.int32)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
-    """Slices of rows with their histograms and their own texts (those of the slice are lower-cased)."""
+def stretches(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All n-grams of the rows, from STRETCH bytes at a time, so that a long row needs no more memory."""
+    for a in range(0, len(data), STRETCH):
+        b = min(a + STRETCH + max(SIZES) - 1, len(data))
+        yield from grams(data[a:b], np.clip(off, a, b) - a, STRETCH)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Slices of rows with the lower-cased bytes and offsets of their texts, and the texts themselves."""
     for batch in batches:
         at = 0
         low = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
-        for part, off, data in text_slices(low, 1 << 19):
-            for i in range(0, part.num_rows, 256):  # many short rows would need many histograms at once
-                j = min(i + 256, part.num_rows)
-                yield part.slice(i, j - i), histograms(data[off[i] : off[j]], off[i : j + 1] - off[i]), batch.column("text").slice(at, j - i)
-                at += j - i
+        for part, off, data in text_slices(low, STRETCH):
+            yield part, data, off, batch.column("text").slice(at, part.num_rows)
+            at += part.num_rows
 
 
-def _margins(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    return h @ weights / np.maximum(h.sum(1, keepdims=True), 1) * SHARPNESS + bias
+def _margins(data: np.ndarray, off: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Rows x bits: the mean weight of a row's n-grams for each bit's classifier, scaled, and the bias."""
+    rows, bits = len(off) - 1, weights.shape[0]
+    sums, n = np.zeros((rows, bits)), np.zeros(rows)
+    for row, bucket in stretches(data, off):
+        n += np.bincount(row, minlength=rows)
+        for b in range(bits):
+            sums[:, b] += np.bincount(row, weights[b, bucket], rows)
+    return sums / np.maximum(n, 1)[:, None] * SHARPNESS + bias
 
 
 class Model:
@@ -110,13 +121,13 @@ class Model:
         # add-one smoothed distributions a language; each side of a bit is the mean of its languages
         p = (counts + 1) / (counts + 1).sum(1, keepdims=True)
         bits = self.code.shape[1]
-        self.weights = np.zeros((BUCKETS, bits))
+        self.weights = np.zeros((bits, BUCKETS))
         for b in range(bits):
             up, down = p[self.code[:, b] > 0], p[self.code[:, b] < 0]
             if len(up) and len(down):
-                self.weights[:, b] = np.log(up.mean(0)) - np.log(down.mean(0))
+                self.weights[b] = np.log(up.mean(0)) - np.log(down.mean(0))
         # the bias puts the threshold half way between the mean margins of a bit's two sides
-        mean = p @ self.weights * SHARPNESS
+        mean = p @ self.weights.T * SHARPNESS
         up = [mean[self.code[:, b] > 0, b].min(initial=np.inf) for b in range(bits)]
         down = [mean[self.code[:, b] < 0, b].max(initial=-np.inf) for b in range(bits)]
         self.bias = np.array([-(u + d) / 2 if np.isfinite(u + d) else 0.0 for u, d in zip(up, down, strict=True)])
@@ -126,9 +137,9 @@ class Model:
         """right: languages x bits, how many sample rows a bit's classifier got right; seen: rows."""
         self.trust = (right + 1) / (seen[:, None] + 2)
 
-    def decode(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def decode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the nearest codeword, and its share of the loss weights, for each row."""
-        margin = np.clip(_margins(h, self.weights, self.bias), -4, 4)
+        margin = np.clip(_margins(data, off, self.weights, self.bias), -4, 4)
         trust = self.trust / self.trust.sum(1, keepdims=True)
         loss = (np.exp(-margin[:, None, :] * self.code[None]) * trust[None]).sum(2)
         near = np.exp(-SHARPNESS * loss)
@@ -138,25 +149,28 @@ class Model:
 
 
 def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
-    """A model from rows (text, lang), lang not null."""
+    """A model from rows (text, lang), lang not null; every language has its share of the sample."""
     spark = labelled.sparkSession
-    total = labelled.count()
-    if not total:
+    seen = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row a language
+    if not seen:
         return None
-    share = min(1.0, SAMPLE_ROWS / total)
-    draw = F.pmod(F.xxhash64("text", "lang", F.lit(7)), F.lit(1_000_003)) < F.lit(int(share * 1_000_003) + 1)
-    sample = scratch.save(labelled.where(draw).repartition(SAMPLE_PARTS))
-    top = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    langs = sorted(r["lang"] for r in top)
+    langs, quota = sorted(seen), -(-SAMPLE_ROWS // len(seen))
     index = {x: i for i, x in enumerate(langs)}
+    shares = spark.createDataFrame([(x, min(1_000_003, quota * 1_000_003 // n + 1)) for x, n in seen.items()], "lang string, share long")
+    draw = F.pmod(F.xxhash64("text", "lang", F.lit(7)), F.lit(1_000_003)) < F.col("share")
+    sample = scratch.save(labelled.join(F.broadcast(shares), "lang").where(draw).select("text", "lang").repartition(SAMPLE_PARTS))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((len(langs), BUCKETS))
-        for part, h, _ in _features(batches):
-            which = np.array([index.get(x, -1) for x in part.column("lang").to_pylist()])
-            for k in np.unique(which[which >= 0]):
-                sums[k] += h[which == k].sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(langs)), pa.int32()), pa.array([x.tobytes() for x in sums], pa.binary())], names=["k", "v"])
+        sums: dict[int, np.ndarray] = {}
+        for part, data, off, _ in _features(batches):
+            which = np.array([index[x] for x in part.column("lang").to_pylist()])
+            present, local = np.unique(which, return_inverse=True)
+            h = np.zeros(len(present) * BUCKETS)
+            for row, bucket in stretches(data, off):
+                h += np.bincount(local[row] * BUCKETS + bucket, minlength=len(h))
+            for k, x in zip(present.tolist(), h.reshape(-1, BUCKETS), strict=True):
+                sums[k] = sums.get(k, 0) + x
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["k", "v"])
 
     counts = np.zeros((len(langs), BUCKETS))
     for r in sample.mapInArrow(count, "k int, v binary").toLocalIterator():
@@ -166,14 +180,13 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        right, seen = np.zeros(m.code.shape), np.zeros(len(langs))
-        for part, h, _ in _features(batches):
-            which = np.array([index.get(x, -1) for x in part.column("lang").to_pylist()])
-            signs = np.sign(_margins(h, m.weights, m.bias))
-            for k in np.unique(which[which >= 0]):
-                right[k] += (signs[which == k] == m.code[k]).sum(0)
-                seen[k] += (which == k).sum()
-        yield pa.RecordBatch.from_arrays([pa.array([right.tobytes()], pa.binary()), pa.array([seen.tobytes()], pa.binary())], names=["right", "seen"])
+        right, seen_rows = np.zeros(m.code.shape), np.zeros(len(langs))
+        for part, data, off, _ in _features(batches):
+            which = np.array([index[x] for x in part.column("lang").to_pylist()])
+            signs = np.sign(_margins(data, off, m.weights, m.bias))
+            np.add.at(right, which, signs == m.code[which])
+            np.add.at(seen_rows, which, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([right.tobytes()], pa.binary()), pa.array([seen_rows.tobytes()], pa.binary())], names=["right", "seen"])
 
     rows = sample.mapInArrow(test, "right binary, seen binary").collect()
     model.reliability(
@@ -193,8 +206,8 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
         m = shared.value
         floor = 1 / len(m.langs)
         clear = floor + AMBIGUOUS * (1 - floor) if len(m.langs) > 1 else 0.0
-        for part, h, texts in _features(batches):
-            best, score = m.decode(h)
+        for part, data, off, texts in _features(batches):
+            best, score = m.decode(data, off)
             known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             names = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             score = np.where(known, score, 0.0)
