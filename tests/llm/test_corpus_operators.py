@@ -225,3 +225,20 @@ def test_pipeline(spark, sf_dir):
         before = now
     assert {"doc_id", "n_tokens", "ids"} <= set(docs.columns)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == before
+
+
+def test_pipeline_of_odd_rows(spark, sf_dir, awkward, nothing):
+    """Nulls, empty texts, repeated rows, clashing columns and long texts pass every stage."""
+    plain = [r for r in awkward.collect() if r["doc_id"] is None or r["doc_id"] < 40 or r["doc_id"] > 90_000]
+    long_ = (70_000, "the house and the garden of the people are here and there in the town " * 30_000, "en", "s", 1, "x", 1, 2, 3)
+    docs = spark.createDataFrame([*plain, *plain, long_], awkward.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = Scratch(spark, name).save(stage(spark, docs, sf_dir))
+    rows = docs.collect()
+    assert len({(r["doc_id"], r["ids_sha256"]) for r in rows}) == len(rows)
+    ids = {r["doc_id"] for r in rows}
+    assert {None, 70_000} <= ids and not {90_001, 90_002, 90_003, 90_004} & ids and len(ids & {90_005, 90_006, 90_007}) == 1
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+    assert docs.count() == 0
