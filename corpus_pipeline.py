@@ -1,9 +1,12 @@
 """Documents to token ids in five stages, each written as Parquet and reread as the next one's input:
 language ID, line dedup, near-duplicate removal, benchmark decontamination, byte-level BPE.
 
-Every stage works on all rows its predecessor kept. Cases: as the operators state them; a document
-without a doc_id passes through the joins of no stage and is left out by the stages that must tell
-documents apart (near-duplicate removal keeps it, as it is linked with nothing)."""
+Every stage works on all rows its predecessor kept. Cases: as the operators state them. Null or empty
+texts go in the first stage, as they have no letter. Of repeated rows (one doc_id, or none, and one text)
+one stays from the third stage on; rows that share a doc_id but not the text count as one document there,
+and go or stay together. Rows without doc_id are linked with nothing. An empty table gives an empty
+table, very long texts are one row throughout, and columns beyond those of documents are cut, whatever
+their names."""
 
 from __future__ import annotations
 
@@ -43,7 +46,11 @@ def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """One document of each group of near duplicates stays: the one with the least doc_id."""
     docs = _documents(docs)
     gone = minhash_dedup.link_documents(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    left = docs.join(gone, "doc_id", "left_anti")
+    often = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once = left.join(often, same, "left_anti")
+    return once.union(left.join(often, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*COLUMNS)
 
 
 def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
