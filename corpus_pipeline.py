@@ -18,7 +18,7 @@ from sourcegrain.llm import bpe_transducer, decontaminate, language_id, line_ded
 from sourcegrain.llm.common import SPACE_CLASS, Scratch, table
 
 #: Of the last stage: its workers share executors with what the earlier stages left in memory.
-MEMO = 120_000
+MEMO = 80_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
