@@ -10,84 +10,139 @@ are made when first needed and kept in bounded memos, shared by all rows of a wo
 
 Decoding carries a UTF-8 state (the bytes of an unfinished character) across tokens and chunks.
 
-Work is per row: no shuffle; a lost executor costs a task's rows. Long texts pass through in chunks.
+Documents are encoded FLUSH pieces at a time: the distinct ones go through the transducer, their ids
+are laid out by numpy, and what is hashed are stretches of Arrow buffers. Work is per row: no shuffle;
+a lost executor costs a task's rows.
 
 Cases: null text is read as empty and gives no ids and empty bytes; repeated rows are encoded alike;
-ties between merges go to the leftmost pair; an empty table gives an empty table; further columns of
-the input are ignored.
+ties between merges go to the leftmost pair; an empty table gives an empty table; a very long text
+passes through in stretches of FLUSH pieces, only its ids are held (where asked for); further columns
+of the input, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from bisect import insort
 from collections.abc import Iterable, Iterator
-from itertools import chain, islice
+from itertools import chain, groupby, islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import hand_back, id_text, text_slices
 
 #: Bound of the memos of states, of word pieces and (half as much again) of token pairs: about a
 #: kilobyte each. Emptying a full one costs time but never changes a result.
 MEMO = 400_000
 CHUNK = 1 << 16
+#: Pieces that are laid out at once, and bytes of text of the rows taken together for that.
+FLUSH, SLICE = 1 << 18, 1 << 20
+
+
+class Tables:
+    """What the merges compile to: a trie of the tokens with suffix links, and the parts of each token.
+    Nodes are numbered breadth first, the root is 0."""
+
+    def __init__(self, vocabulary: bytes):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
+        self.tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
+        self.sizes = [len(t) for t in self.tokens]
+        self._grow()
+        # the last merge that makes each token, and the tokens by their two parts
+        self.left, self.right = list(range(len(self.tokens))), list(range(len(self.tokens)))
+        self.joined: dict[int, int] = {}
+        for token, rank in self.ranks.items():
+            if len(token) > 1 and len(parts := self._merged(token, rank)) == 2:
+                self.left[rank], self.right[rank] = parts
+                self.joined[parts[0] << 24 | parts[1]] = rank
+
+    def _grow(self) -> None:
+        """child: by node * 256 + byte; fail: the node of the longest proper suffix; over: the tokens that
+        end a node's string, longest first; live: the lengths of its suffixes that a token goes on from,
+        as bits."""
+        self.child: dict[int, int] = {}
+        self.fail, self.over, self.live = [0], [()], [1]
+        level = [(0, b"", sorted(self.ranks))]
+        while level:
+            below = []
+            for node, prefix, tokens in level:
+                depth = len(prefix)
+                groups = groupby((t for t in tokens if len(t) > depth), lambda t: t[depth])
+                for byte, some in [(k, list(g)) for k, g in groups]:
+                    new = self.child[node << 8 | byte] = len(self.fail)
+                    to = self.goto(self.fail[node], byte) if node else 0
+                    spelt = prefix + bytes((byte,))
+                    self.fail.append(to)
+                    self.over.append(((self.ranks[spelt],) if spelt in self.ranks else ()) + self.over[to])
+                    self.live.append(self.live[to] | (len(some[-1]) > depth + 1) << depth + 1)
+                    below.append((new, spelt, some))
+            level = below
+
+    def goto(self, node: int, byte: int) -> int:
+        while True:
+            to = self.child.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self.fail[node]
+
+    def _merged(self, raw: bytes, below: int) -> list[int]:
+        """raw merged by the tokens of a rank under `below`."""
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while len(parts) > 1:
+            costs = [self.ranks.get(a + b, below) for a, b in zip(parts, parts[1:], strict=False)]
+            least = min(costs)
+            if least >= below:
+                break
+            i = costs.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return [self.ranks[p] for p in parts]
+
+    def seam_holds(self, a: int, b: int) -> bool:
+        """Whether a and b come out as themselves where they meet: undoing their merges from the last
+        one on, no two parts that touch at the seam would have merged before their own merges did."""
+        made_a, made_b = 1 << 30, 1 << 30  # ranks of the merges that end the parts at the seam
+        while True:
+            rank = self.joined.get(a << 24 | b)
+            # a merge at the seam wins against a later one on either side; of equal ones the leftmost does
+            if rank is not None and rank < made_a and rank <= made_b:
+                return False
+            whole_a, whole_b = self.right[a] == a, self.left[b] == b
+            if whole_a and whole_b:
+                return True
+            if whole_b or not whole_a and a > b:
+                made_a, a = a, self.right[a]
+            else:
+                made_b, b = b, self.left[b]
 
 
 class State:
-    __slots__ = ("ends", "last", "live", "next", "pending", "tail")
+    __slots__ = ("ends", "last", "next", "node", "pending", "tail")
 
-    def __init__(self, last: int, pending: bytes, ends: tuple[int, ...], live: tuple[tuple[int, int], ...]):
+    def __init__(self, last: int, pending: bytes, ends: tuple[int, ...], node: int):
         self.last, self.pending = last, pending
         self.ends = ends  # of each prefix of pending (from one byte on), the last token
-        self.live = live  # where a token that isn't complete yet may begin, ascending, and its node in the trie
+        self.node = node  # the longest suffix read that a token begins with, so where tokens to come may begin
         self.next: dict[int, tuple[State, tuple[int, ...]]] = {}
         self.tail: tuple[int, ...] | None = None
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], memo: int = MEMO):
-        self.ranks, self.memo = ranks, memo
-        self.tokens = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.tokens[rank] = token
-        self.sizes = [len(t) for t in self.tokens]
-        # a trie of the tokens: children by node * 256 + byte, the token a node spells, and inner nodes
-        self.child: dict[int, int] = {}
-        self.spelt, self.inner = [-1], [True]
-        for token, rank in ranks.items():
-            node = 0
-            for byte in token:
-                self.inner[node] = True
-                key = node << 8 | byte
-                node = self.child.get(key, 0)
-                if not node:
-                    node = self.child[key] = len(self.spelt)
-                    self.spelt.append(-1)
-                    self.inner.append(False)
-            self.spelt[node] = rank
+    def __init__(self, tables: Tables, memo: int = MEMO):
+        self.tables, self.memo, self.sizes = tables, memo, tables.sizes
         self.pairs: dict[int, bool] = {}
         self._forget()
 
     def _forget(self) -> None:
-        self.start = State(-1, b"", (), ((0, 0),))
+        self.start = State(-1, b"", (), 0)
         self.states = {(-1, b""): self.start}
 
-    def _merged(self, raw: bytes) -> list[int]:
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        none = len(self.tokens)
-        while len(parts) > 1:
-            costs = [self.ranks.get(a + b, none) for a, b in zip(parts, parts[1:], strict=False)]
-            least = min(costs)
-            if least == none:
-                break
-            i = costs.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
-
     def may_follow(self, a: int, b: int) -> bool:
         if a < 0:
             return True
@@ -96,42 +151,30 @@ class Transducer:
         if known is None:
             if len(self.pairs) >= self.memo * 3 // 2:
                 self.pairs.clear()
-            known = self.pairs[key] = self._merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            known = self.pairs[key] = self.tables.seam_holds(a, b)
         return known
 
     def _step(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
-        pending, ends = state.pending + bytes((byte,)), state.ends
-        n, token, live, roots = len(pending), -1, [], []
-        child, spelt, inner, pairs = self.child, self.spelt, self.inner, self.pairs
-        for j, node in state.live:
-            node = child.get(node << 8 | byte)
-            if node is None:
-                continue
-            if token < 0 <= (rank := spelt[node]):
-                before = ends[j - 1] if j else state.last
-                known = True if before < 0 else pairs.get(before << 24 | rank)
-                if known or known is None and self.may_follow(before, rank):
-                    token = rank
-            if inner[node]:
-                live.append((j, node))
-                roots.append(j)
+        node, ends, sizes = self.tables.goto(state.node, byte), state.ends, self.sizes
+        n = len(ends) + 1
+        for token in self.tables.over[node]:
+            j = n - sizes[token]
+            if j >= 0 and self.may_follow(ends[j - 1] if j else state.last, token):
+                break
         ends = (*ends, token)
-        live.append((n, 0))
-        roots.append(n)
-        sizes = self.sizes
-        while len(roots) > 1:  # the furthest place goes back to where its last token begins, until all agree
-            j = roots.pop()
-            j -= sizes[ends[j - 1]]
-            if j not in roots:
-                insort(roots, j)
-        root = roots[0]
+        # the places where a token may begin, as distances from the end: the nearest goes back to where
+        # the token before it begins, until all agree
+        places = self.tables.live[node]
+        while (near := places & -places) != places:
+            places = places ^ near | near << sizes[ends[n - near.bit_length()]]
+        root = n + 1 - places.bit_length()
         out = self._chain(ends, root)
-        key = (out[-1] if out else state.last, pending[root:])
+        key = (out[-1] if out else state.last, (state.pending + bytes((byte,)))[root:])
         found = self.states.get(key)
         if found is None:
             if len(self.states) >= self.memo:
                 self._forget()
-            found = self.states[key] = State(key[0], key[1], ends[root:], tuple([(j - root, node) for j, node in live]))
+            found = self.states[key] = State(key[0], key[1], ends[root:], node)
         state.next[byte] = found, out
         return found, out
 
@@ -176,13 +219,16 @@ class Pieces(dict):
 
 
 class Codec:
-    def __init__(self, vocabulary: bytes, pattern: str, memo: int = MEMO):
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines()) if a}
-        self.pieces = Pieces(Transducer(ranks, memo))
+    def __init__(self, tables: Tables, pattern: str, memo: int = MEMO):
+        self.pieces = Pieces(Transducer(tables, memo))
         self.pattern = regex.compile(pattern)
-        self.names = [str(i) for i in range(len(self.pieces.transducer.tokens))]
-        whole = [advance(b"", token) for token in self.pieces.transducer.tokens]
-        self.texts = [text if not rest else None for text, rest in whole]
+        self.tables = tables
+        self.tokens = tokens = tables.tokens
+        self.said = pa.array([f" {i}".encode() for i in range(len(tokens))], pa.large_binary())
+        self.spelt = pa.array(tokens, pa.large_binary())
+        whole = [advance(b"", token) for token in tokens]
+        self.texts = [text if not rest and text.encode() == token else None for (text, rest), token in zip(whole, tokens, strict=True)]
+        self.whole = np.array([text is not None for text in self.texts])
         self.moves: dict[bytes, dict[int, tuple[str, bytes]]] = {b"": {}}
 
     def encode_stream(self, text: str) -> Iterator[list[int]]:
@@ -211,7 +257,7 @@ class Codec:
             for i in ids:
                 moved = table.get(i)
                 if moved is None:
-                    moved = table[i] = advance(state, self.pieces.transducer.tokens[i])
+                    moved = table[i] = advance(state, self.tokens[i])
                 if moved[1] != state:
                     state = moved[1]
                     table = self.moves.setdefault(state, {})
@@ -259,52 +305,111 @@ def _high(pending: bytes) -> int:
     return {b"\xed": 0x9F, b"\xf4": 0x8F}.get(pending, 0xBF)
 
 
-_CODECS: dict[tuple[int, str, int], Codec] = {}
+_CODEC: list[Codec] = []
+
+
+def codec(tables: Tables, pattern: str, memo: int) -> Codec:
+    """The codec of a worker, made anew for other tables; its tasks share the memos."""
+    if not _CODEC or (_CODEC[0].tables, _CODEC[0].pattern.pattern, _CODEC[0].pieces.transducer.memo) != (tables, pattern, memo):
+        _CODEC[:] = [Codec(tables, pattern, memo)]
+    return _CODEC[0]
+
+
+class Row:
+    """What is gathered of one document: how many ids, the digests, and the ids themselves if asked for."""
+
+    __slots__ = ("ids", "n", "said", "text")
+
+    def __init__(self):
+        self.n, self.said, self.text, self.ids = 0, hashlib.sha256(), hashlib.sha256(), []
+
+
+def _encoded(c: Codec, part: pa.RecordBatch, with_ids: bool) -> pa.RecordBatch:
+    rows = [Row() for _ in range(part.num_rows)]
+    pieces: list[str] = []
+    segments: list[tuple[Row, int]] = []
+    for row, text in zip(rows, part.column("text").to_pylist(), strict=True):
+        matches = [c.pattern.findall(text)] if len(text) <= SLICE else _stretches(c.pattern.finditer(text))
+        for found in matches:
+            pieces += found
+            segments.append((row, len(found)))
+            if len(pieces) >= FLUSH:
+                _lay_out(c, pieces, segments, with_ids)
+                pieces, segments = [], []
+    _lay_out(c, pieces, segments, with_ids)
+    columns = [part.column("doc_id"), pa.array([r.n for r in rows], pa.int64()), pa.array([r.said.hexdigest() for r in rows]), pa.array([r.text.hexdigest() for r in rows])]
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    if with_ids:
+        ids = [x for r in rows for x in r.ids]
+        flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
+        columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[r.n for r in rows]]), pa.int32()), flat))
+        names.append("ids")
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _stretches(matches: Iterator[regex.Match]) -> Iterator[list[str]]:
+    while some := [m.group() for m in islice(matches, FLUSH)]:
+        yield some
+
+
+def _lay_out(c: Codec, pieces: list[str], segments: list[tuple[Row, int]], with_ids: bool) -> None:
+    """Adds the ids of the pieces to the rows whose segments they are; each distinct piece is encoded once."""
+    if not pieces:
+        return
+    coded = pa.array(pieces, pa.string()).dictionary_encode()
+    known = [c.pieces[p] for p in coded.dictionary.to_pylist()]
+    which = coded.indices.to_numpy()
+    size = np.fromiter(map(len, known), np.int64, len(known))
+    flat = np.fromiter(chain.from_iterable(known), np.int32, int(size.sum()))
+    first, n = np.cumsum(size) - size, size[which]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat(first[which] - ends + n, n) + np.arange(ends[-1])]
+    said, said_at = _joined(c.said, ids)
+    text, text_at = _joined(c.spelt, ids)
+    odd = np.flatnonzero(~c.whole[ids])
+    cut = np.concatenate(([0], ends))[np.cumsum([0, *[k for _, k in segments]])].tolist()
+    for (row, _), a, b in zip(segments, cut, cut[1:], strict=False):
+        if a < b:
+            row.said.update(said[said_at[a] + (not row.n) : said_at[b]])  # no blank before the first
+            at = text_at[a]
+            for lo, hi in _unfinished(odd, a, b):
+                row.text.update(text[at : text_at[lo]])
+                row.text.update(c.decode(ids[lo:hi].tolist()).encode())
+                at = text_at[hi]
+            row.text.update(text[at : text_at[b]])
+            row.n += b - a
+            if with_ids:
+                row.ids.append(ids[a:b])
 
 
-def codec(vocabulary: bytes, pattern: str, memo: int) -> Codec:
-    """One codec a worker for each vocabulary, so that tasks share its memos."""
-    key = (hash(vocabulary), pattern, memo)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary, pattern, memo)
-    return _CODECS[key]
+def _joined(names: pa.Array, ids: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """The names of all ids on end, and where each begins."""
+    out = names.take(pa.array(ids))
+    return memoryview(out.buffers()[2] or b""), np.frombuffer(out.buffers()[1], np.int64, len(out) + 1, out.offset * 8)
+
+
+def _unfinished(odd: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
+    """The stretches from a to b of ids that don't spell whole characters: the state machine goes over
+    them, as it does nothing but copy where a character ends with each token."""
+    mine = odd[np.searchsorted(odd, a) : np.searchsorted(odd, b)]
+    if not len(mine):
+        return []
+    new = np.flatnonzero(np.diff(mine) > 1) + 1
+    return list(zip(mine[np.append(0, new)].tolist(), (mine[np.append(new - 1, -1)] + 1).tolist(), strict=True))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless left out, the ids themselves. `memo`
     bounds what a worker keeps; smaller ones suit executors whose memory other operators share."""
     with open(path, "rb") as f:  # a fixed vocabulary of the installation, under a megabyte
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        shared = docs.sparkSession.sparkContext.broadcast(Tables(f.read()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern, memo)
         for batch in batches:
-            rows = []
-            for text in batch.column("text").to_pylist():
-                kept: list[int] = []
-                n, said, got = 0, hashlib.sha256(), hashlib.sha256()
-
-                def chunks(text: str = text) -> Iterator[list[int]]:
-                    nonlocal n
-                    for ids in c.encode_stream(text):
-                        if ids:
-                            said.update((" " * bool(n) + " ".join(map(c.names.__getitem__, ids))).encode())
-                            n += len(ids)
-                            if with_ids:
-                                kept.extend(ids)
-                            yield ids
-
-                for part in c.decode_stream(chunks()):
-                    got.update(part.encode())
-                rows.append((n, said.hexdigest(), got.hexdigest(), kept))
-            ns, saids, gots, lists = zip(*rows, strict=True) if rows else ((), (), (), ())
-            columns = [batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(saids, pa.string()), pa.array(gots, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns.append(pa.array(lists, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            for part, _, _ in text_slices(batch, SLICE):
+                yield _encoded(c, part, with_ids)
+        hand_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return id_text(docs).mapInArrow(run, schema)
