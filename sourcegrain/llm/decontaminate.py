@@ -14,9 +14,11 @@ the whole item to the best-fitting stretch of the document around the hit.
 Documents are scanned row by row, without a shuffle. The benchmark's tables are broadcast in shares
 of at most SHARE_BYTES of text; a larger benchmark takes several scans, with the same result.
 
-Cases: null or empty text has no passages; an item of fewer than MIN_BYTES normalised bytes is
-not searched for (it would be met by chance), items that normalise alike are found each; repeated
-rows are judged alike; ties between places go to the first; empty tables give an empty table.
+Cases: null or empty text has no passages; an item of fewer than MIN_BYTES normalised bytes is found
+only where it stands word for word (edited, it would be met by chance), one without a letter or digit
+not at all; items that normalise alike are found each; repeated rows are judged alike; ties between
+places go to the first; empty tables give an empty table; a very long text is scanned WINDOWS words at
+a time; further columns are kept as they are, but one named as the result is replaced by it.
 """
 
 from __future__ import annotations
@@ -29,16 +31,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, mix, text_slices, words64
+from .common import SpanHash, hand_back, id_text, mix, text_slices, words64
 
 #: Edits allowed, as a share of the item's characters.
 EDITS = 0.10
 MIN_BYTES = 24
-WALKS, TABLES, SAMPLES = 2, 6, 7
-#: Output length of a walk: over a long block, and over the few bytes of a short item.
-LONG, SHORT = 96, 20
+WALKS, TABLES, SAMPLES = 2, 3, 8
+#: Output length of a walk: over the blocks of a long item, and of a short one.
+LONG, SHORT = 48, 20
 #: Bytes of an item that a block needs, by the output length of its walk.
-LEAST = {LONG: 32, SHORT: 12}
+LEAST = {LONG: 20, SHORT: 12}
 SHARE_BYTES = 4 << 20
 GRAM = 5
 CELLS = 1 << 20
@@ -139,6 +141,10 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, s) for i, s in items if len(s.encode()) >= MIN_BYTES]
         self.by_steps = {}
+        self.short: dict[int, dict[bytes, list[int]]] = {}
+        for i, s in items:
+            if 0 < (n := len(s.encode())) < MIN_BYTES:
+                self.short.setdefault(n, {}).setdefault(s.encode(), []).append(i)
         raws = [np.frombuffer(s.encode() + bytes(8 - GRAM), np.uint8) for _, s in self.items]
         self.size = np.array([len(s.encode()) for _, s in self.items], np.int64)
         self.most = np.array([int(EDITS * len(s)) for _, s in self.items], np.int64)
@@ -209,6 +215,26 @@ class Index:
         return out
 
 
+    def verbatim(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item id, start, end) of the short items that stand between blanks, in bytes of the row."""
+        if not self.short:
+            return
+        starts, span = word_starts(data, off), SpanHash(data)
+        begins = starts + (data[starts] == 32)
+        rows = np.searchsorted(off, starts, "right") - 1
+        for n, known in self.short.items():
+            ends = begins + n
+            whole = np.flatnonzero(ends <= off[rows + 1])
+            whole = whole[(ends[whole] == off[rows[whole] + 1]) | (np.append(data, 32)[ends[whole]] == 32)]
+            raw = np.frombuffer(b"".join(known), np.uint8)
+            at = np.arange(len(known)) * n
+            wanted = SpanHash(raw)(at, at + n)
+            for w in whole[np.isin(span(begins[whole], ends[whole]), wanted)].tolist():
+                a, b, row = int(begins[w]), int(ends[w]), int(rows[w])
+                for item in known.get(data[a:b].tobytes(), ()):
+                    yield row, item, a - int(off[row]), b - int(off[row])
+
+
 def _items(items: DataFrame) -> list[list[tuple[int, str]]]:
     """The normalised items, in shares of bounded size."""
     rows = items.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).distinct()
@@ -223,20 +249,34 @@ def _items(items: DataFrame) -> list[list[tuple[int, str]]]:
     return shares
 
 
+_INDEX: list = []
+
+
+def index_of(share: list[tuple[int, str]]) -> Index:
+    """The index of a share of items, made once a worker."""
+    if not _INDEX or _INDEX[0] is not share:
+        _INDEX[:] = [share, Index(share)]
+    return _INDEX[1]
+
+
 LEAKS = "array<struct<item_id:bigint,distance:int,start:int,end:int>>"
 
 
 def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFrame:
     """docs (with a column text) and one more column: an array of (item_id, distance, start, end), the
     places in code points of the normalised text, by item and place."""
+    docs = docs.drop(name)
+    lead = name
+    while any(c.lower().startswith(lead.lower()) for c in docs.columns):
+        lead += "_"
     out = docs
     for n, share in enumerate(_items(items)):
         shared = docs.sparkSession.sparkContext.broadcast(share)
-        column = f"{name}_{n}"
+        column = f"{lead}{n}"
         schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields], f"`{column}` {LEAKS}"])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, column=column) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = index_of(shared.value)
             kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
             for batch in batches:
                 plain = pa.RecordBatch.from_arrays([normalise(batch.column("text")), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
@@ -252,8 +292,12 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFr
                         if fit:
                             d, a, b = fit
                             found[base + row][item_id, len(before) + a] = (d, len(before) + b)
+                    for row, item_id, a, b in index.verbatim(data, off):
+                        place = [len(data[off[row] : off[row] + x].tobytes().decode()) for x in (a, b)]
+                        found[base + row][item_id, place[0]] = (0, place[1])
                 lists = [[{"item_id": i, "distance": d, "start": a, "end": b} for (i, a), (d, b) in sorted(x.items())] for x in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, kind)], names=[*batch.schema.names, column])
+            hand_back()
 
         out = out.mapInArrow(run, schema)
     parts = [c for c in out.columns if c not in docs.columns]
