@@ -4,6 +4,7 @@ zero-copy views of Arrow text columns."""
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import gc
 import re
 import tempfile
@@ -109,6 +110,14 @@ def text_slices(
         i = j
 
 
+def hand_back() -> None:
+    """Gives freed memory back to the machine; a worker that idles would else hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 C1 = np.uint64(0x9E3779B97F4A7C15)
 C2 = np.uint64(0xC2B2AE3D27D4EB4F)
 

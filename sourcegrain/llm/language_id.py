@@ -27,13 +27,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, id_text, mix, text_slices
+from .common import Scratch, hand_back, id_text, mix, text_slices
 
 SAMPLE_ROWS = 20_000
 SAMPLE_PARTS = 8
 SIZES = (1, 2, 3, 4)
 BUCKETS = 1 << 14
-STRETCH = 1 << 19
+STRETCH, GROUP = 1 << 19, 32
 SHARPNESS = 4.0
 AMBIGUOUS = 0.60  # least score of a clear prediction, as a share of the way from 1 / languages to 1
 UNKNOWN = "und"
@@ -66,10 +66,11 @@ _FOLD[:128] = 32
 _FOLD[97:123] = np.arange(97, 123)
 
 
-def grams(data: np.ndarray, off: np.ndarray, upto: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each size, the row and the bucket of each byte n-gram that begins before `upto`; letters only,
+def grams(data: np.ndarray, off: np.ndarray, upto: int) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the bucket of each byte n-gram that begins before `upto`; letters only,
     everything else in ASCII reads as a blank, and n-grams of blanks alone do not count."""
     x = _FOLD[data].astype(np.uint32)
+    rows, buckets = [], []
     row = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))
     code, blank = np.zeros(len(x), np.uint32), np.ones(len(x), bool)
     shift = np.uint32(32 - 14)
@@ -82,35 +83,40 @@ def grams(data: np.ndarray, off: np.ndarray, upto: int) -> Iterator[tuple[np.nda
         ok = (row[:n] == row[size - 1 :]) & ~blank
         ok[upto:] = False
         h = ((code * np.uint32(2654435761)) ^ np.uint32(size * 0x9E3779)) * np.uint32(0x85EBCA6B) >> shift
-        yield row[:n][ok], h[ok].astype(np.int32)
+        rows.append(row[:n][ok])
+        buckets.append(h[ok].astype(np.int32))
+    return np.concatenate(rows), np.concatenate(buckets)
 
 
 def stretches(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All n-grams of the rows, from STRETCH bytes at a time, so that a long row needs no more memory."""
     for a in range(0, len(data), STRETCH):
         b = min(a + STRETCH + max(SIZES) - 1, len(data))
-        yield from grams(data[a:b], np.clip(off, a, b) - a, STRETCH)
+        yield grams(data[a:b], np.clip(off, a, b) - a, STRETCH)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
-    """Slices of rows with the lower-cased bytes and offsets of their texts, and the texts themselves."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of rows with the bytes and offsets of their lower-cased texts."""
     for batch in batches:
-        at = 0
-        low = batch.set_column(batch.schema.get_field_index("text"), "text", pc.utf8_lower(batch.column("text")))
-        for part, off, data in text_slices(low, STRETCH):
-            yield part, data, off, batch.column("text").slice(at, part.num_rows)
-            at += part.num_rows
+        for part, _, _ in text_slices(batch, STRETCH):
+            low = pa.RecordBatch.from_arrays([pc.utf8_lower(part.column("text"))], names=["text"])
+            (_, off, data), = text_slices(low, 1 << 62)
+            yield part, data, off
+    hand_back()
 
 
 def _margins(data: np.ndarray, off: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Rows x bits: the mean weight of a row's n-grams for each bit's classifier, scaled, and the bias."""
-    rows, bits = len(off) - 1, weights.shape[0]
-    sums, n = np.zeros((rows, bits)), np.zeros(rows)
-    for row, bucket in stretches(data, off):
-        n += np.bincount(row, minlength=rows)
-        for b in range(bits):
-            sums[:, b] += np.bincount(row, weights[b, bucket], rows)
-    return sums / np.maximum(n, 1)[:, None] * SHARPNESS + bias
+    """Rows x bits: the mean weight of a row's n-grams for each bit's classifier, scaled, and the bias;
+    from the histograms of GROUP rows at a time, which are small enough for the processor's caches."""
+    rows, out = len(off) - 1, []
+    for i in range(0, rows, GROUP):
+        j = min(i + GROUP, rows)
+        h = np.zeros((j - i) * BUCKETS, np.int64)
+        for row, bucket in stretches(data[off[i] : off[j]], off[i : j + 1] - off[i]):
+            h += np.bincount(row.astype(np.int64) * BUCKETS + bucket, minlength=len(h))
+        h = h.reshape(j - i, BUCKETS).astype(np.float32)
+        out.append((h @ weights.T) / np.maximum(h.sum(1, keepdims=True), 1))
+    return np.concatenate(out).astype(float) * SHARPNESS + bias
 
 
 class Model:
@@ -121,7 +127,7 @@ class Model:
         # add-one smoothed distributions a language; each side of a bit is the mean of its languages
         p = (counts + 1) / (counts + 1).sum(1, keepdims=True)
         bits = self.code.shape[1]
-        self.weights = np.zeros((bits, BUCKETS))
+        self.weights = np.zeros((bits, BUCKETS), np.float32)
         for b in range(bits):
             up, down = p[self.code[:, b] > 0], p[self.code[:, b] < 0]
             if len(up) and len(down):
@@ -162,7 +168,7 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for part, data, off, _ in _features(batches):
+        for part, data, off in _features(batches):
             which = np.array([index[x] for x in part.column("lang").to_pylist()])
             present, local = np.unique(which, return_inverse=True)
             h = np.zeros(len(present) * BUCKETS)
@@ -181,7 +187,7 @@ def fit(labelled: DataFrame, scratch: Scratch) -> Model | None:
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         right, seen_rows = np.zeros(m.code.shape), np.zeros(len(langs))
-        for part, data, off, _ in _features(batches):
+        for part, data, off in _features(batches):
             which = np.array([index[x] for x in part.column("lang").to_pylist()])
             signs = np.sign(_margins(data, off, m.weights, m.bias))
             np.add.at(right, which, signs == m.code[which])
@@ -206,14 +212,14 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) ->
         m = shared.value
         floor = 1 / len(m.langs)
         clear = floor + AMBIGUOUS * (1 - floor) if len(m.langs) > 1 else 0.0
-        for part, data, off, texts in _features(batches):
+        for part, data, off in _features(batches):
             best, score = m.decode(data, off)
             known = part.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             names = [m.langs[k] if ok else UNKNOWN for k, ok in zip(best, known, strict=True)]
             score = np.where(known, score, 0.0)
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(names, pa.string()), pa.array(score), pa.array(known & (score < clear)),
-                 *[texts if c == "text" else part.column(c) for c in keep]],
+                 *[part.column(c) for c in keep]],
                 names=["doc_id", "lang_pred", "score", "ambiguous", *keep])
 
     kinds = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
