@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import text
-from sourcegrain.operators import citations, compare, identity, judge, lookup, references, structure
+from sourcegrain.operators import audit, citations, compare, identity, judge, linking, lookup, references, structure
 from sourcegrain.sources import bibtex
 
 QUERIES, SQL = {}, {}
@@ -96,7 +96,7 @@ def bib_record_checks(spark: SparkSession) -> DataFrame:
     return compare.compare_records(spark.createDataFrame(rows, f"pair int, left {side}, right {side}"), "pair")
 
 
-@query(values([(1, True, False, None, 0, 0, False), (2, True, True, None, 0, 0, False), (3, False, False, 1, 0, 0, False), (4, True, False, None, 0, 0, True), (5, False, False, None, 1, 0, False)], "pair, agree, truncated, position, missing, extra, given_conflict"))
+@query(values([(1, True, False, None, 0, 0, False), (2, False, True, None, 1, 0, False), (3, False, False, 1, 0, 0, False), (4, True, False, None, 0, 0, True), (5, False, False, None, 1, 0, False)], "pair, agree, truncated, position, missing, extra, given_conflict"))
 def latex_author_compare(spark: SparkSession) -> DataFrame:
     rows = [
         (1, ['M{\\"u}ller, J.', "Ghaffari Laleh, Narmin"], ["Jon Müller", "Narmin Ghaffari Laleh"]), (2, ["Li, Ann", "others"], ["Ann Li", "Bo Ek"]),
@@ -173,3 +173,105 @@ def sequence_ratios(spark: SparkSession) -> DataFrame:
 def normal_forms(spark: SparkSession) -> DataFrame:
     df = spark.createDataFrame([("ﬁ Straße: a net-\nwork—x", "https://doi.org/10.1/Q).", "CoRR, abs/1710.10723v2")], "given string, d string, a string")
     return df.select("given", text.normalize_title(F.col("given")).alias("title"), text.normalize_doi(F.col("d")).alias("doi"), text.extract_arxiv(F.col("a")).alias("arxiv_id"))
+
+
+@query(values([(1, True), (2, False), (3, True), (4, False), (5, False)], "pair, agree"))
+def author_sets(spark: SparkSession) -> DataFrame:
+    rows = [
+        (1, ["Epping, Bastian", "Schaub, Michael"], ["Michael T. Schaub", "Bastian Epping"]), (2, ["Smith, Jane"], ["John Smith"]), (3, ["Vaswani, A.", "Mikolov, Tomáš"], ["Ashish Vaswani", "Tomas Mikolov"]),
+        (4, ["Li, Ann"], ["Ann Li", "Bo Ek"]), (5, [], [])]
+    return spark.createDataFrame(rows, "pair int, a array<string>, b array<string>").select("pair", audit.same_people(F.col("a"), F.col("b")).alias("agree"))
+
+
+SIDE = "struct<title:string,authors:array<string>,year:int,venue:string,doi:string>"
+
+
+def _audited(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
+    ok = ("Deep Learning of Graphs", ["Li, Ann", "Ek, Bo"], 2020, "Journal of Graphs", "")
+    other = lambda **x: tuple({**dict(zip(("title", "authors", "year", "venue", "doi"), ok, strict=True)), **x}.values())
+    rows = [
+        ("same", ok, ok, []), ("year", other(year=2019), ok, []), ("recovered", other(year=2019), ok, ["year"]), ("given", other(authors=["Li, Amy", "Ek, Bo"]), ok, []),
+        ("venue", ok, other(venue="Lecture Notes"), []), ("arxiv", other(venue="arXiv preprint 2010.1"), other(venue="arXiv (Cornell)"), []), ("cut", other(authors=["Li, Ann", "others"]), ok, []),
+        ("missing", other(venue=""), ok, []), ("case", other(title="Deep learning of graphs!"), ok, [])]
+    pairs = spark.createDataFrame(rows, f"ref_id string, left {SIDE}, right {SIDE}, recovered array<string>")
+    refs = spark.createDataFrame([(r[0], "t") for r in rows] + [("untitled", " "), ("nobody", "t"), ("two", "t"), ("broken", "t"), ("unasked", "t")], "ref_id string, title string")
+    outcomes = spark.createDataFrame([(r[0], "found") for r in rows] + [("nobody", "not_found"), ("two", "ambiguous"), ("broken", "failed"), ("untitled", "found")], "ref_id string, outcome string")
+    return refs, outcomes, pairs
+
+
+@query(values([
+    ("same", "VERIFIED"), ("year", "METADATA_MISMATCH"), ("recovered", "NEEDS_REVIEW"), ("given", "NEEDS_REVIEW"), ("venue", "NEEDS_REVIEW"), ("arxiv", "VERIFIED"), ("cut", "METADATA_MISMATCH"), ("missing", "NEEDS_REVIEW"),
+    ("case", "VERIFIED"), ("untitled", "NEEDS_REVIEW"), ("nobody", "NOT_FOUND"), ("two", "NEEDS_REVIEW"), ("broken", "LOOKUP_FAILED"), ("unasked", "LOOKUP_FAILED")], "ref_id, audit_status"))
+def audited_references(spark: SparkSession) -> DataFrame:
+    refs, outcomes, pairs = _audited(spark)
+    return audit.audit_references(refs, outcomes, audit.compare_external(pairs, "ref_id")[1], "ref_id")
+
+
+@query(values([
+    ("given", "authors", "MISMATCH"), ("given", "doi", "NOT_CHECKED"), ("given", "title", "MATCH"), ("given", "venue", "MATCH"), ("given", "year", "MATCH"),
+    ("missing", "authors", "MATCH"), ("missing", "doi", "NOT_CHECKED"), ("missing", "title", "MATCH"), ("missing", "venue", "INPUT_MISSING"), ("missing", "year", "MATCH")], "ref_id, field, status"))
+def audit_field_checks(spark: SparkSession) -> DataFrame:
+    return audit.compare_external(_audited(spark)[2], "ref_id")[0].where("ref_id in ('given', 'missing')")
+
+
+@query(values([("parsed", "title,year"), ("typed", "year")], "kind, fields"))
+def recovered_field_names(spark: SparkSession) -> DataFrame:
+    rows = [("parsed", "parser", ("T", [], None, "", ""), ("T", [], 2020, "", "")), ("typed", "bibtex", ("T", ["A"], None, "", ""), ("T", ["A"], 2020, "", ""))]
+    df = spark.createDataFrame(rows, f"kind string, source string, stated {SIDE}, read {SIDE}")
+    return df.select("kind", F.array_join(audit.recovered_fields(F.col("source"), F.col("stated"), F.col("read")), ",").alias("fields"))
+
+
+@query(values([("c1", 0, 1), ("c1", 1, 3), ("c2", 0, 2), ("c3", 0, 4), ("c4", 0, 5), ("c4", 0, 6)], "claim_id, part, reference_id"))
+def author_year_links(spark: SparkSession) -> DataFrame:
+    refs = [
+        ("p", 1, "Müller, J., Ek, B., & Oz, C. (2020). A title. J."), ("p", 2, "Li, A., & Ek, B. (2019a). Other."), ("p", 3, "World Health Organization. (n.d.). Report."), ("p", 4, "Van Li, A. (2018). Alone."),
+        ("p", 5, "Ek, B. (2001). One."), ("p", 6, "Ek, B. (2002, May 3). Two."), ("p", 7, "No date here.")]
+    said = [("p", "c1", "(Muller et al., 2020; see World Health Organization, n.d.)"), ("p", "c2", "(Li & Ek, 2019a)"), ("p", "c3", "(Van Li, 2018)"), ("p", "c4", "(Ek, 2001, 2002)"), ("p", "c5", "(Li et al., 2019a)"), ("p", "c6", "[1]")]
+    keys = linking.author_year_keys(spark.createDataFrame(refs, "paper string, reference_id int, raw_text string"), "paper")
+    cited = linking.cited_author_years(spark.createDataFrame(said, "paper string, claim_id string, marker string"), "paper")
+    return linking.match_author_years(cited, keys, "paper").select("claim_id", "part", "reference_id")
+
+
+@query(values([("(Li, 2020)", 1, "a"), ("(Ek, 2020)", 2, None), ("\\cite{B}", 1, "b"), ("\\cite{a,b}", 0, None), ("[d]", 2, None)], "marker, candidates, key"))
+def marker_entry_links(spark: SparkSession) -> DataFrame:
+    entries = [("p", "a", ["Li, Ann"], 2020), ("p", "b", ["Bo Ek"], 2020), ("p", "c", ["Ek, Cy"], 2020), ("p", "D", ["Oz, E"], 2001), ("p", "d", ["Oz, F"], 2002)]
+    markers = spark.createDataFrame([("p", m) for m in ("(Li, 2020)", "(Ek, 2020)", "\\cite{B}", "\\cite{a,b}", "[1, 2]", "[d]")], "paper string, marker string")
+    return linking.marker_entries(markers, spark.createDataFrame(entries, "paper string, key string, authors array<string>, year int"), "paper").drop("paper")
+
+
+@query(values([("doi", "P1", 1.0), ("title", "P2", 1.0), ("sub", "P3", 0.85)], "key, paper_id, score"))
+def entry_paper_links(spark: SparkSession) -> DataFrame:
+    papers = [
+        ("P1", "Something", ["Ann Li"], 2020, "10.1/A"), ("P2", "Graph Auto- encoders for Trees", ["Bo Ek"], 2019, None), ("P3", "Learning Deep Graphs", ["Cy Oz"], 2018, ""),
+        ("P4", "Twin Title Words", ["X Y"], 2000, ""), ("P5", "Twin Title Words", ["X Z"], 2001, "")]
+    entries = [
+        ("doi", "Other", ["Li, Ann"], 1999, "10.1/a"), ("title", "Graph Autoencoders for Trees", ["Ek, Bo"], None, ""), ("sub", "Learning Deep Graphs: Extended version", ["Oz, Cy"], 2018, ""),
+        ("twin", "Twin Title Words", [], None, ""), ("far", "Cooking deep", ["Nobody"], 1990, ""), ("conflict", "Something", ["Li, Ann"], 2020, "10.1/b")]
+    kind = "title string, authors array<string>, year int, doi string"
+    out = linking.entry_papers(spark.createDataFrame(entries, "key string, " + kind), spark.createDataFrame(papers, "paper_id string, " + kind), "key")
+    return out.withColumn("score", F.round("score", 2))
+
+
+@query(values([("Deep Learning for Graph", "k1"), ("twins", "k2")], "title, key"))
+def fuzzy_title_entries(spark: SparkSession) -> DataFrame:
+    entries = spark.createDataFrame([("p", 0, "k1", "{Deep} Learning for Graphs"), ("p", 1, "k2", "Twins"), ("p", 2, "k3", "twins!"), ("q", 0, "k4", "Cooking")], "paper string, ord int, key string, title string")
+    wanted = spark.createDataFrame([("p", "Deep Learning for Graph"), ("p", "twins"), ("p", "Cooking"), ("p", "Deep")], "paper string, title string")
+    return linking.by_title(entries, wanted, "paper").select("title", "key")
+
+
+@query(values([("d", 1, 1, "Introduction", "Text one.", 0), ("d", 2, 1, "Introduction", "2 Methods", 1), ("d", 4, 2, None, "Far page.", 0)], "paper, ord, page, heading, content, display_index"))
+def document_views(spark: SparkSession) -> DataFrame:
+    rows = [("d", 0, 0, "Introduction"), ("d", 1, 1, "Text  one."), ("d", 2, 1, "2 Methods"), ("d", 3, 2, "  "), ("d", 4, 9, "Far page.")]
+    return linking.document_view(spark.createDataFrame(rows, "paper string, ord int, page int, content string"), spark.createDataFrame([("d", 2)], "paper string, pages int"), "paper")
+
+
+@query(values([(1, "10.1000/a(b)c", "See", False), (2, "10.1000/x", "at", False), (3, "", "nothing here", False), (4, "", "http://a.b/c", True)], "n, doi, rest, url"))
+def doi_and_url_forms(spark: SparkSession) -> DataFrame:
+    df = spark.createDataFrame([(1, "See https://doi.org/10.1000/a(b)c))."), (2, "at doi: 10.1000/x, p. 2"), (3, " nothing here"), (4, "http://a.b/c")], "n int, x string")
+    return df.select("n", text.balanced_doi(F.col("x")).alias("doi"), text.without_doi(F.col("x")).alias("rest"), text.is_http_url(F.col("x")).alias("url"))
+
+
+@query(values([("b|![y](2)|c|![x](1) |d",)], "kept"))
+def image_lines(spark: SparkSession) -> DataFrame:
+    df = spark.createDataFrame([("![x](1)\nb\n![y](2)\nc\n![x](1) \nd",)], "x string")
+    return df.select(F.replace(text.keep_last_images(F.col("x")), F.lit("\n"), F.lit("|")).alias("kept"))
