@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Whether a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Characters between words: blank and code points 9 to 13.
 SPACE_CLASS = r"\x20\x09-\x0D"
 
@@ -63,22 +65,31 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         schema = df.schema
-        df.write.parquet(path)
+        with self._own_shuffles():
+            df.write.parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         out._scratch_path = path
         del df  # else its plan, and with it the shuffle files, would outlive release()
         self.release()
         return out
 
+    @contextlib.contextmanager
+    def _own_shuffles(self) -> Iterator[None]:
+        """While a table is written, Spark deletes the shuffle files of the query as it ends: they have done
+        their work, and else stay until the driver happens to collect its garbage."""
+        conf = self.spark.conf
+        before = conf.get(CLEANUP, "false")
+        conf.set(CLEANUP, "true")
+        try:
+            yield
+        finally:
+            conf.set(CLEANUP, before)
+
     def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of plans that nothing refers to any more;
-        without it they stay until the driver happens to collect its garbage. Events that still wait
-        for their listeners refer to plans, so these go first."""
-        jvm = self.spark.sparkContext._jvm
-        with contextlib.suppress(Exception):
-            self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
+        """For what was broadcast, and where the setting above is unknown: lets Spark's cleaner see which
+        plans nothing refers to any more."""
         gc.collect()
-        jvm.System.gc()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, df: DataFrame) -> None:
         """Deletes a table nothing will read again; a failure to delete does no harm."""
