@@ -11,7 +11,7 @@ import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
         if name.startswith("sourcegrain.llm") or name == "corpus_pipeline":
-            raise ModuleNotFoundError(name)
+            raise ModuleNotFoundError(name, name=name)  # as the import system raises it
 sys.meta_path.insert(0, Gone())
 import __spark_entry__ as e
 assert e.queries() and e.oracle_sql() and not any(n.startswith("op") and n[2].isdigit() for n in e.queries()) and "pipeline" not in e.queries()
