@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sourcegrain.functions import sets
-from sourcegrain.operators import audit, metrics, resolve, retrieval, windows
+from sourcegrain.operators import audit, classes, metrics, resolve, retrieval, windows
 
 QUERIES, SQL = {}, {}
 
@@ -120,10 +120,10 @@ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
 r AS (SELECT *, row_number() OVER w AS rk, lead(score) OVER w AS nx FROM s WHERE score >= 0.65 WINDOW w AS (PARTITION BY a_id ORDER BY score DESC, b_id))
 SELECT a_id, b_id, score FROM r WHERE rk = 1 AND (nx IS NULL OR round(score - nx, 6) >= 0.1)""")
 def scored_join_with_margin(t) -> DataFrame:
-    p = t("part").select("p_brand", "p_partkey", "p_size", "p_type")
-    pairs = p.toDF("p_brand", "a_id", "s1", "t1").join(p.toDF("p_brand", "b_id", "s2", "t2"), "p_brand").where("a_id <> b_id")
-    score = F.round(F.least(F.lit(1.0), 0.5 + F.when(F.col("s1") == F.col("s2"), 0.15).otherwise(0.0) + F.when(F.col("t1") == F.col("t2"), 0.25).otherwise(0.0)), 6)
-    return resolve.best_with_margin(pairs.select("a_id", "b_id", score.alias("score")), "a_id", "b_id", "score", 0.65, 0.1)
+    part = lambda x, y, weight: F.when(x == y, weight).otherwise(0.0)
+    score = lambda a, b: F.round(F.least(F.lit(1.0), 0.5 + part(a["p_size"], b["p_size"], 0.15) + part(a["p_type"], b["p_type"], 0.25)), 6)
+    pairs = classes.best_partners(t("part"), "p_brand", ["p_size", "p_type"], "p_partkey", score, 0.65, k=2, meet=["p_size", "p_type"])
+    return resolve.best_with_margin(pairs, "a_id", "b_id", "score", 0.65, 0.1)
 
 
 @query("""SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
