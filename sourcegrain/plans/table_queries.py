@@ -85,6 +85,12 @@ def title_similarity_pairs(t) -> DataFrame:
     return pairs.select("a_id", "b_id", F.round(sets.longer_overlap(a, b), 6).alias("title_similarity"), F.round(sets.share_of_first(a, b), 6).alias("venue_share"), F.round(sets.dice(a, b), 6).alias("dice"))
 
 
+def _edit_ratio(a, b):
+    """1 less the distance over the longer length; not a number for two empty names, as in the SQL."""
+    longest = F.greatest(F.length(a), F.length(b))
+    return F.when(longest == 0, F.levenshtein(a, b) + F.lit(float("nan"))).otherwise(1 - F.levenshtein(a, b) / longest)
+
+
 @query("""SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, CAST(levenshtein(a.p_name, b.p_name) AS INT) AS distance,
 round(1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE), 6) AS ratio
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
@@ -100,10 +106,8 @@ FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey)
 r AS (SELECT *, row_number() OVER (PARTITION BY a_id ORDER BY score DESC, b_id) AS rk FROM s)
 SELECT a_id, b_id, score FROM r WHERE rk = 1 AND score >= 0.3""")
 def fuzzy_best_match(t) -> DataFrame:
-    p = t("part").select("p_brand", "p_partkey", "p_name")
-    pairs = p.toDF("p_brand", "a_id", "a").join(p.toDF("p_brand", "b_id", "b"), "p_brand").where("a_id <> b_id")
-    score = F.round(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")), 9)
-    return windows.first_of(pairs.select("a_id", "b_id", score.alias("score")), ["a_id"], [F.desc("score"), F.asc("b_id")]).where("score >= 0.3")
+    found = classes.best_partners(t("part"), "p_brand", ["p_name"], "p_partkey", lambda a, b: F.round(_edit_ratio(a["p_name"], b["p_name"]), 9), 0.3)
+    return windows.first_of(found, ["a_id"], [F.desc("score"), F.asc("b_id")])
 
 
 @query("""WITH w AS (SELECT s_suppkey, replace(s_name, 'Supplier', 'Customer') AS key FROM supplier),

@@ -26,7 +26,7 @@ def both(spark, folder, name):
     return plain(df.collect(), df.columns), plain(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", ["scored_join_with_margin"])
+@pytest.mark.parametrize("name", ["scored_join_with_margin", "fuzzy_best_match"])
 def test_odd_rows(spark, tmp_path, name):
     """Null, empty and repeated values; keys that stand in several rows, groups and classes."""
     dice = random.Random(5)
@@ -38,7 +38,7 @@ def test_odd_rows(spark, tmp_path, name):
     assert wanted
 
 
-@pytest.mark.parametrize(("name", "n"), [("scored_join_with_margin", 2)])
+@pytest.mark.parametrize(("name", "n"), [("scored_join_with_margin", 2), ("fuzzy_best_match", 60_002)])
 def test_many_copies(spark, tmp_path, name, n):
     """3.6 billion pairs of copies in one brand; only their classes may meet."""
     rows = [(k, "red ring", "x", "s", 1) for k in range(60_000)] + [(100_001, "red rings", "y", "s", 1), (100_002, "red ring", "y", "s", 1)]
