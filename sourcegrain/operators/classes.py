@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from sourcegrain.operators import windows
 
+#: Members of a class that are expanded together.
+BLOCK = 512
+
 
 def _same(left: list[str], right: list[str]) -> Column:
     """Equal columns, null and null too."""
@@ -22,6 +25,33 @@ def _kinds(rows: DataFrame, group: list[str], traits: list[str]) -> DataFrame:
     return rows.select(*group, *traits).dropna(subset=group).distinct()
 
 
+def tasks(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def expanded(rows: DataFrame, group: list[str], trait: str, node: str, facts: Callable[[Column, Column], dict[str, Column]], where: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """a_id, b_id and the facts of their traits for all pairs a_id < b_id of a group. Members come in
+    sorted blocks, and pairs of blocks are dealt out, as a few bytes of them make many rows."""
+    kinds = _kinds(rows, group, [trait])
+    met = kinds.toDF(*group, "_a").join(kinds.toDF(*group, "_b"), group)
+    a, b = F.col("_a"), F.col("_b")
+    if where is not None:
+        met = met.where(where(a, b))
+    found = facts(a, b)
+    met = met.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_a", "_b", *[c.alias(name) for name, c in found.items()])
+    ids = rows.groupBy(*group, trait).agg(F.sort_array(F.collect_list(node)).alias("ids"))
+    blocks = ids.where(F.size("ids") > 0).select(*group, trait, F.explode(F.transform(F.sequence(F.lit(1), F.size("ids"), F.lit(BLOCK)), lambda k: F.slice("ids", k, BLOCK))).alias("ids"))
+    key = [f"_g{i}" for i in range(len(group))]
+    for side in "ab":
+        theirs = blocks.toDF(*[f"_{side}{g}" for g in key], f"_{side}_trait", f"_{side}_ids")
+        on = reduce(lambda x, y: x & y, [F.col(g) == F.col(f"_{side}{g}") for g in key]) & F.col(f"_{side}").eqNullSafe(F.col(f"_{side}_trait"))
+        met = met.join(theirs, on)
+    met = met.where(F.get("_a_ids", F.lit(0)) < F.element_at("_b_ids", -1)).select("_a_ids", "_b_ids", *found).repartition(tasks(rows))
+    one = met.select(F.explode("_a_ids").alias("a_id"), "_b_ids", *found)
+    return one.select("a_id", F.explode("_b_ids").alias("b_id"), *found).where("a_id < b_id")
+
+
 def best_partners(
     rows: DataFrame, group: str, traits: list[str], node: str, score: Callable[[dict, dict], Column], least: float, k: int = 1, meet: list[str] | None = None
 ) -> DataFrame:

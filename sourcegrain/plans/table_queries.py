@@ -79,10 +79,10 @@ s AS (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, len(list_intersect(list_d
 FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey)
 SELECT a_id, b_id, round(k / CAST(greatest(n, m) AS DOUBLE), 6) AS title_similarity, round(k / CAST(n AS DOUBLE), 6) AS venue_share, round(2.0 * k / (n + m), 6) AS dice FROM s WHERE k >= 1""")
 def title_similarity_pairs(t) -> DataFrame:
-    p = t("part").select("p_partkey", "p_brand", F.array_distinct(F.split("p_name", " ")).alias("w"))
-    pairs = p.toDF("a_id", "p_brand", "a").join(p.toDF("b_id", "p_brand", "b"), "p_brand").where((F.col("a_id") < F.col("b_id")) & F.arrays_overlap("a", "b"))
-    a, b = F.col("a"), F.col("b")
-    return pairs.select("a_id", "b_id", F.round(sets.longer_overlap(a, b), 6).alias("title_similarity"), F.round(sets.share_of_first(a, b), 6).alias("venue_share"), F.round(sets.dice(a, b), 6).alias("dice"))
+    words = lambda name: F.array_distinct(F.split(name, " "))
+    measures = {"title_similarity": sets.longer_overlap, "venue_share": sets.share_of_first, "dice": sets.dice}
+    facts = lambda a, b: {k: F.round(f(words(a), words(b)), 6) for k, f in measures.items()}
+    return classes.expanded(t("part"), ["p_brand"], "p_name", "p_partkey", facts, lambda a, b: F.arrays_overlap(words(a), words(b)))
 
 
 def _edit_ratio(a, b):

@@ -26,7 +26,7 @@ def both(spark, folder, name):
     return plain(df.collect(), df.columns), plain(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", ["scored_join_with_margin", "fuzzy_best_match"])
+@pytest.mark.parametrize("name", ["scored_join_with_margin", "fuzzy_best_match", "title_similarity_pairs"])
 def test_odd_rows(spark, tmp_path, name):
     """Null, empty and repeated values; keys that stand in several rows, groups and classes."""
     dice = random.Random(5)
@@ -49,3 +49,12 @@ def test_many_copies(spark, tmp_path, name, n):
     if name == "fuzzy_best_match":
         best = {r["a_id"]: (r["b_id"], r["score"]) for r in found}
         assert (best[0], best[1], best[59_999], best[100_001]) == ((1, 1.0), (0, 1.0), (0, 1.0), (100_002, 0.888888889))
+
+
+@pytest.mark.parametrize("name", ["title_similarity_pairs"])
+def test_pairs_of_a_small_file_are_dealt_out(spark, tmp_path, name):
+    """Few bytes make millions of pairs, which must not be one task's work."""
+    rows = [(k, "red ring" if k % 2 else "red bolt", "x", "s", 1) for k in range(4000)]
+    sizes = registry.queries()[name](spark, write(tmp_path, rows)).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    assert sum(sizes) == 4000 * 3999 // 2
+    assert max(sizes) < 0.6 * sum(sizes)
