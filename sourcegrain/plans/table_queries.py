@@ -95,10 +95,8 @@ def _edit_ratio(a, b):
 round(1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE), 6) AS ratio
 FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey""")
 def levenshtein_titles(t) -> DataFrame:
-    p = t("part").select("p_brand", "p_size", "p_partkey", "p_name")
-    pairs = p.toDF("p_brand", "p_size", "a_id", "a").join(p.toDF("p_brand", "p_size", "b_id", "b"), ["p_brand", "p_size"]).where("a_id < b_id")
-    d = F.levenshtein("a", "b")
-    return pairs.select("a_id", "b_id", d.alias("distance"), F.round(1 - d / F.greatest(F.length("a"), F.length("b")), 6).alias("ratio"))
+    facts = lambda a, b: {"distance": F.levenshtein(a, b), "ratio": F.round(_edit_ratio(a, b), 6)}
+    return classes.expanded(t("part"), ["p_brand", "p_size"], "p_name", "p_partkey", facts)
 
 
 @query("""WITH s AS (SELECT a.p_partkey AS a_id, b.p_partkey AS b_id, round(1 - levenshtein(a.p_name, b.p_name) / CAST(greatest(length(a.p_name), length(b.p_name)) AS DOUBLE), 9) AS score

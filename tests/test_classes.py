@@ -26,7 +26,7 @@ def both(spark, folder, name):
     return plain(df.collect(), df.columns), plain(result.fetchall(), names)
 
 
-@pytest.mark.parametrize("name", ["scored_join_with_margin", "fuzzy_best_match", "title_similarity_pairs"])
+@pytest.mark.parametrize("name", ["scored_join_with_margin", "fuzzy_best_match", "title_similarity_pairs", "levenshtein_titles"])
 def test_odd_rows(spark, tmp_path, name):
     """Null, empty and repeated values; keys that stand in several rows, groups and classes."""
     dice = random.Random(5)
@@ -51,7 +51,7 @@ def test_many_copies(spark, tmp_path, name, n):
         assert (best[0], best[1], best[59_999], best[100_001]) == ((1, 1.0), (0, 1.0), (0, 1.0), (100_002, 0.888888889))
 
 
-@pytest.mark.parametrize("name", ["title_similarity_pairs"])
+@pytest.mark.parametrize("name", ["title_similarity_pairs", "levenshtein_titles"])
 def test_pairs_of_a_small_file_are_dealt_out(spark, tmp_path, name):
     """Few bytes make millions of pairs, which must not be one task's work."""
     rows = [(k, "red ring" if k % 2 else "red bolt", "x", "s", 1) for k in range(4000)]
