@@ -311,14 +311,13 @@ def _high(pending: bytes) -> int:
     return {b"\xed": 0x9F, b"\xf4": 0x8F}.get(pending, 0xBF)
 
 
-_CODEC: list[Codec] = []
-
-
 def codec(tables: Tables, pattern: str, memo: int) -> Codec:
-    """The codec of a worker, made anew for other tables; its tasks share the memos."""
-    if not _CODEC or (_CODEC[0].tables, _CODEC[0].pattern.pattern, _CODEC[0].pieces.transducer.memo) != (tables, pattern, memo):
-        _CODEC[:] = [Codec(tables, pattern, memo)]
-    return _CODEC[0]
+    """The codec of a worker, made anew for other settings; its tasks share the memos. It is kept with the
+    tables, so both go when a task of another query finds their broadcast over."""
+    known = getattr(tables, "codec", None)
+    if known is None or (known.pattern.pattern, known.pieces.transducer.memo) != (pattern, memo):
+        known = tables.codec = Codec(tables, pattern, memo)
+    return known
 
 
 class Row:

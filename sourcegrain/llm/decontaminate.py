@@ -45,6 +45,8 @@ SHARE_BYTES = 4 << 20
 GRAM = 5
 CELLS = 1 << 20
 WINDOWS = 1 << 15
+#: Bytes of text whose grams are hashed at once.
+SLICE = 1 << 20
 
 
 def normalise(texts: pa.Array) -> pa.Array:
@@ -281,7 +283,7 @@ def with_leaks(docs: DataFrame, items: DataFrame, name: str = "leaks") -> DataFr
             for batch in batches:
                 plain = pa.RecordBatch.from_arrays([normalise(batch.column("text")), pa.array(np.arange(batch.num_rows))], names=["text", "row"])
                 found: list[dict] = [{} for _ in range(batch.num_rows)]
-                for part, off, data in text_slices(plain, 4 << 20):
+                for part, off, data in text_slices(plain, SLICE):
                     texts, base = part.column("text"), part.column("row")[0].as_py()
                     for row, k, at in sorted(index.hits(data, off)):
                         item_id, item = index.items[k]
