@@ -6,8 +6,10 @@ import time
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from test_oracles import plain
 
+from sourcegrain.operators import classes
 from sourcegrain.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -58,3 +60,20 @@ def test_pairs_of_a_small_file_are_dealt_out(spark, tmp_path, name):
     sizes = registry.queries()[name](spark, write(tmp_path, rows)).rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
     assert sum(sizes) == 4000 * 3999 // 2
     assert max(sizes) < 0.6 * sum(sizes)
+
+
+def test_partners_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """The rows of one file must not meet what their classes have found in one task."""
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        rows = [(k, "red ring", f"b{k % 5}", "st"[k % 2], k % 7) for k in range(4000)]
+        part = spark.read.parquet(write(tmp_path, rows) + "/part.parquet")
+        one = lambda a, b: F.when(a["p_size"] == b["p_size"], 1.0).otherwise(0.5)
+        found = classes.best_partners(part, "p_brand", ["p_size", "p_type"], "p_partkey", one, 0.6, k=2)
+        sizes = found.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect()
+    finally:
+        spark.conf.set(key, before)
+    assert sum(sizes) == 2 * 4000
+    assert max(sizes) < 0.6 * sum(sizes)
