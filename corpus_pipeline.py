@@ -62,7 +62,7 @@ def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of the text that decoding them gives."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe_transducer.encode_documents(docs, path, pattern, memo=MEMO)
+    return bpe_transducer.encode_documents(docs, path, pattern, memo=MEMO, keep=False)
 
 
 STAGES = [

@@ -25,6 +25,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+import pickle
 from collections.abc import Iterable, Iterator
 from itertools import chain, groupby, islice
 
@@ -403,14 +404,17 @@ def _unfinished(odd: np.ndarray, a: int, b: int) -> list[tuple[int, int]]:
     return list(zip(mine[np.append(0, new)].tolist(), (mine[np.append(new - 1, -1)] + 1).tolist(), strict=True))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, memo: int = MEMO) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = True, memo: int = MEMO, keep: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless left out, the ids themselves. `memo`
-    bounds what a worker keeps; smaller ones suit executors whose memory other operators share."""
+    bounds what a worker keeps; smaller ones suit executors whose memory other operators share. Without
+    `keep` tables and memos go with each task: idle workers, of which an executor may have more than
+    cores, then hold four megabytes of packed tables."""
     with open(path, "rb") as f:  # a fixed vocabulary of the installation, under a megabyte
-        shared = docs.sparkSession.sparkContext.broadcast(Tables(f.read()))
+        tables = Tables(f.read())
+    shared = docs.sparkSession.sparkContext.broadcast(tables if keep else pickle.dumps(tables, pickle.HIGHEST_PROTOCOL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(shared.value, pattern, memo)
+        c = codec(shared.value, pattern, memo) if keep else Codec(pickle.loads(shared.value), pattern, memo)
         gc.disable()  # states are many and freed by hand: going over them again and again takes a quarter of the time
         try:
             for batch in batches:
@@ -418,6 +422,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool =
                     yield _encoded(c, part, with_ids)
         finally:
             gc.enable()
+        del c
         hand_back()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids

@@ -8,6 +8,7 @@ import random
 import re
 import weakref
 from collections import Counter
+from unittest import mock
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from sourcegrain.llm import bpe_transducer, decontaminate, language_id, quality_rules, secret_scan, url_filter
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -211,6 +213,20 @@ def test_codec_goes_with_its_tables():
     assert gone() is None
 
 
+def test_pipeline_workers_keep_no_codec(monkeypatch):
+    """More workers than cores take turns at a stage's tasks; idle ones must not hold memos and tables."""
+    docs, kept = mock.MagicMock(), []
+    docs.sparkSession.sparkContext.broadcast = lambda x: kept.append(x) or mock.Mock(value=x)
+    monkeypatch.setattr(bpe_transducer, "id_text", lambda d: mock.Mock(mapInArrow=lambda run, schema: run))
+    task = corpus_pipeline.encode(None, docs, "")
+    codecs = lambda: {id(x) for x in gc.get_objects() if type(x) is bpe_transducer.Codec}
+    before = codecs()
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array(["some words", ""])], names=["doc_id", "text"])
+    assert [r["n_tokens"] > 0 for out in task(iter([batch])) for r in out.to_pylist()] == [True, False]
+    assert codecs() <= before
+    assert all(type(x) is bytes for x in kept)
+
+
 def test_bpe_of_long_texts_and_few_memos(spark, codecs, monkeypatch):
     """Texts beyond a slice pass in stretches, and memos that run over change nothing."""
     own, other = codecs
